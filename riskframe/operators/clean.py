@@ -102,7 +102,8 @@ def impute(
     The values are taken from all rows, rows without a label included; pass
     the labelled rows as ``fit_on`` to keep the others out.
     """
-    columns = numeric_columns(df, [target])
+    filled = completeness(df)
+    columns = [c for c in numeric_columns(df, [target]) if filled[c] < 100.0]
     return fill(df, fill_values(fit_on if fit_on is not None else df, columns, how, cell_limit))
 
 
