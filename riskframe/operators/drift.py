@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col
-from riskframe.operators.ranks import running_counts, to_long
+from riskframe.operators.ranks import bucket_count, running_counts, to_long
 
 SIDE = "side"
 REFERENCE, CURRENT = "reference", "current"
@@ -32,6 +32,7 @@ def _is(side: str):
 
 def drift_numeric(sides: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """(feature, n_reference, n_current, ks, wasserstein, wasserstein_normed)."""
+    buckets = bucket_count(sides) if buckets is None else buckets
     counts = (
         to_long(sides, columns, [SIDE])
         .groupBy("feature", "value")

@@ -50,7 +50,7 @@ def node_table(spark: SparkSession, model) -> list[list]:
             node["leftChild"].alias("left"),
             node["rightChild"].alias("right"),
             node["split"]["featureIndex"].alias("feature"),
-            node["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
+            F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         )
         .collect()
     )

@@ -27,6 +27,8 @@ from riskframe.functions.expr import chunks, col, digest
 
 # Values held by one aggregation buffer of the direct method.
 CELL_LIMIT = 5_000_000
+# Rows up to which running counts use a plain window per label.
+RANGE_ROWS = 1_000_000
 # Rows of one group from which the sketch method is used for grouped quantiles.
 HOT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -36,8 +38,14 @@ MAX_BUCKETS = 1_000
 HOT_VALUES = 1_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Value ranges to use: as many as shuffle partitions, within bounds."""
+def bucket_count(df: DataFrame, range_rows: int = RANGE_ROWS) -> int:
+    """Value ranges for running counts over the rows of ``df``.
+
+    One when a single task can hold the rows, otherwise as many as there are
+    shuffle partitions, within bounds.
+    """
+    if df.count() <= range_rows:
+        return 1
     return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
@@ -102,7 +110,7 @@ def running_counts(
     group: Sequence[str],
     value: str,
     measures: Sequence[str],
-    buckets: int | None = None,
+    buckets: int,
     next_value: str | None = None,
 ) -> DataFrame:
     """Add ``<m>_below`` per measure: its sum over smaller values of the group.
@@ -113,7 +121,6 @@ def running_counts(
     label (feature names, a constant), never a data key: the tables of cut
     points and offsets have at most ``groups x buckets`` rows and are broadcast.
     """
-    buckets = bucket_count(counts) if buckets is None else buckets
     rng = "__range"
     if buckets == 1:
         ranged = counts.withColumn(rng, F.lit(0))
@@ -157,6 +164,7 @@ def average_ranks(
     df: DataFrame, group: Sequence[str], value: str, buckets: int | None = None
 ) -> DataFrame:
     """(group, value, n, rank): average rank of every distinct value per group."""
+    buckets = bucket_count(df) if buckets is None else buckets
     counts = df.groupBy(*[col(g) for g in group], col(value)).agg(F.count(F.lit(1)).alias("n"))
     return running_counts(counts, group, value, ["n"], buckets).withColumn(
         "rank", F.col("n_below") + (F.col("n") + 1) / 2
@@ -175,16 +183,22 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
     )
 
 
-def ranked_cells(df: DataFrame, key: str, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+def ranked_cells(
+    df: DataFrame, key: str, columns: Sequence[str], buckets: int | None = None, hot_rows: int = RANGE_ROWS
+) -> DataFrame:
     """(key, feature, value, n, n_below): every cell with its place among all rows.
 
     The counts are joined back to the cells on (feature, value). A frequent
     value would make one huge join task, so the at most ``HOT_VALUES`` most
     frequent values per column are broadcast and only the others are shuffled.
     """
+    rows = df.count()
     cells = to_long(df, columns, [key])
+    buckets = bucket_count(df) if buckets is None else buckets
     places = average_ranks(cells, ["feature"], "value", buckets).select("feature", "value", "n", "n_below")
-    limit = max(1, df.count() // HOT_VALUES)  # at most HOT_VALUES values per column reach it
+    if rows <= hot_rows:
+        return cells.join(places, ["feature", "value"])
+    limit = max(1, rows // HOT_VALUES)  # at most HOT_VALUES values per column reach it
     hot = places.where(F.col("n") >= limit).select(
         "feature", "value", F.col("n").alias("__n"), F.col("n_below").alias("__b")
     )
@@ -206,6 +220,7 @@ def label_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
     """(group..., n, q0, q1, ...): interpolated quantiles per bounded label."""
+    buckets = bucket_count(df) if buckets is None else buckets
     counts = (
         df.where(col(value).isNotNull())
         .groupBy(*[col(g) for g in group], col(value).cast("double").alias("__v"))

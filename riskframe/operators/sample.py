@@ -119,12 +119,14 @@ def smote(
     k: int = 5,
     seed: int = 42,
     sizes: dict[int, int] | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Add synthetic minority rows until minority / majority reaches ``ratio``.
 
     Base rows are taken in turn by hash rank. Each synthetic row lies on the
     segment from its base to one of the base's ``k`` nearest minority rows.
     Synthetic rows have a NULL key and only the columns ``key, target, features``.
+    ``near``: neighbours from ``minority_neighbors``, to share them between calls.
     """
     sizes = class_sizes(df, target) if sizes is None else sizes
     minority = minority_class(sizes)
@@ -137,11 +139,21 @@ def smote(
         return plain
     return plain.unionByName(
         synthetic_rows(
-            plain.where(col(target) == minority), key, target, features, wanted, sizes[minority], minority, k, seed
+            plain.where(col(target) == minority), key, target, features, wanted, sizes[minority], minority, k, seed,
+            near=near,
         )
     )
 
 
+def minority_neighbors(minority: DataFrame, key: str, features: list[str], k: int = 5) -> DataFrame:
+    """(base, pick, neighbor, vec, neighbor_vec): the k nearest rows of every row."""
+    point = F.array(*[col(f).cast("double") for f in features])
+    points = minority.select(col(key).alias("id"), point.alias("vec"))
+    return nearest_neighbors(points, k).select(
+        F.col("id").alias("base"), F.col("rank").alias("pick"), "neighbor", "vec", "neighbor_vec"
+    )
+
+
 def synthetic_rows(
     minority: DataFrame,
     key: str,
@@ -153,12 +165,12 @@ def synthetic_rows(
     k: int = 5,
     seed: int = 42,
     keep_origin: bool = False,
+    near: DataFrame | None = None,
 ) -> DataFrame:
+    """``wanted`` interpolated rows of the minority frame."""
     k_used = min(k, available - 1)
     if k_used < 1:
         raise ValueError("synthetic rows need at least two minority rows")
-    point = F.array(*[col(f).cast("double") for f in features])
-    points = minority.select(col(key).alias("id"), point.alias("vec"))
     # Base rows in use: all of them, or the first ``wanted`` by rank.
     rank = hash_rank(minority.select(col(key)), [key], [], seed, RANK)
     turns = F.lit(wanted // available) + (F.col(RANK) <= F.lit(wanted % available)).cast("int")
@@ -171,9 +183,8 @@ def synthetic_rows(
             "u": unit_interval(digest([F.col("base"), F.col("turn"), seed, "u"])),
         }
     )
-    near = nearest_neighbors(points, k_used).select(
-        F.col("id").alias("base"), F.col("rank").alias("pick"), "neighbor", "vec", "neighbor_vec"
-    )
+    if near is None:
+        near = minority_neighbors(minority, key, features, k_used)
     placed = emitted.join(near, ["base", "pick"])
     return placed.select(
         *([F.col("base"), F.col("turn"), F.col("neighbor")] if keep_origin else []),
@@ -195,6 +206,7 @@ def hybrid_balance(
     k: int = 5,
     seed: int = 42,
     sizes: dict[int, int] | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """SMOTE to the midpoint of present and wanted share, then undersample to the wanted share.
 
@@ -205,7 +217,7 @@ def hybrid_balance(
     total = sum(sizes.values())
     midpoint = (sizes[minority] / total + share) / 2
     majority = total - sizes[minority]
-    over = smote(df, key, target, features, midpoint, k, seed, sizes)
+    over = smote(df, key, target, features, midpoint, k, seed, sizes, near)
     grown = {c: n for c, n in sizes.items()}
     grown[minority] = int(midpoint * majority)
     wanted = int(grown[minority] / sampling_ratio(share))
@@ -226,14 +238,17 @@ def rebalance(
     share: float,
     seed: int = 42,
     sizes: dict[int, int] | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame | None:
     """Apply a technique by name; None when it does not apply to this balance."""
     sizes = class_sizes(df, target) if sizes is None else sizes
     initial = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if technique == "oversample":
-        return None if share <= initial else smote(df, key, target, features, share, seed=seed, sizes=sizes)
+        return None if share <= initial else smote(df, key, target, features, share, seed=seed, sizes=sizes, near=near)
     if technique == "undersample":
         return None if share == 1.0 else undersample(df, key, target, share, seed, sizes)
     if technique == "hybrid":
-        return None if share <= initial else hybrid_balance(df, key, target, features, share, seed=seed, sizes=sizes)
+        if share <= initial:
+            return None
+        return hybrid_balance(df, key, target, features, share, seed=seed, sizes=sizes, near=near)
     raise ValueError(f"Unknown resampling technique: {technique}")
