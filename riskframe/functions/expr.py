@@ -30,12 +30,12 @@ def nan_to_null(c: Column) -> Column:
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
-    """``a / b`` with x/0 = signed infinity and 0/0 missing."""
+    """``a / b`` with x/0 = signed infinity; 0/0 and missing sides are missing."""
     a, b = a.cast("double"), b.cast("double")
     return (
         F.when(b != 0, a / b)
-        .when(a > 0, F.lit(INF))
-        .when(a < 0, F.lit(-INF))
+        .when((b == 0) & (a > 0), F.lit(INF))
+        .when((b == 0) & (a < 0), F.lit(-INF))
     )
 
 

@@ -71,6 +71,7 @@ def aggregate(
     null_category: bool = True,
     more: Mapping[str, Sequence[str]] | None = None,
     hot_rows: int = HOT_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with all aggregates of ``spec``.
 
@@ -78,6 +79,8 @@ def aggregate(
     added under ``prefix``. ``slices``: output prefix -> row condition, the
     spec repeated over those rows. ``more``: further specs under ``prefix``
     that the slices do not repeat. ``count_name``: row count per key.
+    ``sizes_from``: a cheaper frame with the same rows per key, for the check
+    of group sizes.
     """
     plan = Plan()
     for name, hows in spec.items():
@@ -95,10 +98,12 @@ def aggregate(
                 plan.add(f"{slice_prefix}{name}_{how.upper()}", how, col(name), condition)
     if count_name:
         plan.add(count_name, "size", F.lit(1))
-    return run_plan(df, key, plan, hot_rows)
+    return run_plan(df, key, plan, hot_rows, sizes_from)
 
 
-def run_plan(df: DataFrame, key: str, plan: Plan, hot_rows: int = HOT_ROWS) -> DataFrame:
+def run_plan(
+    df: DataFrame, key: str, plan: Plan, hot_rows: int = HOT_ROWS, sizes_from: DataFrame | None = None
+) -> DataFrame:
     order = [col(key), *[col(n) for n in plan.order]]
 
     def grouped(frame: DataFrame, exact_shuffle: bool, medians: bool) -> DataFrame:
@@ -106,10 +111,14 @@ def run_plan(df: DataFrame, key: str, plan: Plan, hot_rows: int = HOT_ROWS) -> D
         if medians:
             columns += [group_median(c).alias(n) for n, c in plan.medians.items()]
         columns += [distinct_count(v, w, exact_shuffle).alias(n) for n, (v, w) in plan.distinct.items()]
+        if medians and plan.medians:
+            # Medians keep all values, so partial aggregates would be larger than the
+            # rows themselves. Shuffle the rows once; groups are of bounded size here.
+            frame = frame.repartition(col(key))
         return frame.groupBy(col(key)).agg(*columns)
 
     needs_values = bool(plan.medians or plan.distinct)
-    hot = hot_groups(df, key, hot_rows) if needs_values else None
+    hot = hot_groups(df if sizes_from is None else sizes_from, key, hot_rows) if needs_values else None
     if hot is None:
         return grouped(df, exact_shuffle=False, medians=True).select(*order)
     light = grouped(df.join(hot, key, "left_anti"), exact_shuffle=False, medians=True)

@@ -127,6 +127,7 @@ def bureau_features(bureau: DataFrame, bureau_balance: DataFrame, hot_rows: int
         more={c: ["mean"] for c in balance_shares},
         slices=_slices(BUREAU_SLICES),
         hot_rows=hot_rows,
+        sizes_from=bureau,
     )
 
 

@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskframe.functions.expr import chunks, col, digest
+from riskframe.functions.expr import chunks, col, digest, nan_to_null
 
 # Values held by one aggregation buffer of the direct method.
 CELL_LIMIT = 5_000_000
 # Rows up to which running counts use a plain window per label.
 RANGE_ROWS = 1_000_000
 # Rows of one group from which the sketch method is used for grouped quantiles.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 # Rank error of the sketch is at most 1/accuracy; the bracket is four times that.
 BRACKET = 4.0 / SKETCH_ACCURACY
@@ -379,8 +379,15 @@ def hot_groups(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
 
 
 def group_median(c: Column) -> Column:
-    """Interpolated median as an aggregate; fit for groups of bounded size."""
-    return F.median(c.cast("double"))
+    """Interpolated median as an aggregate, for groups of bounded size.
+
+    A sorted array per group is faster than the value-count map of the built-in
+    ``median`` when a pass has dozens of medians over small groups.
+    """
+    values = F.sort_array(F.collect_list(c.cast("double")))
+    last = F.size(values) - 1
+    middle = (F.get(values, F.floor(last / 2).cast("int")) + F.get(values, F.ceil(last / 2).cast("int"))) / 2
+    return nan_to_null(middle)
 
 
 def hot_group_medians(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:

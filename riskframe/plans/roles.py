@@ -223,7 +223,8 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 
 INSTALMENT_COLUMNS_SQL = """
 SELECT *, CASE WHEN AMT_INSTALMENT <> 0 THEN AMT_PAYMENT / AMT_INSTALMENT
-    WHEN AMT_PAYMENT > 0 THEN CAST('inf' AS DOUBLE) WHEN AMT_PAYMENT < 0 THEN CAST('-inf' AS DOUBLE) END AS PAYMENT_PERC,
+    WHEN AMT_INSTALMENT = 0 AND AMT_PAYMENT > 0 THEN CAST('inf' AS DOUBLE)
+    WHEN AMT_INSTALMENT = 0 AND AMT_PAYMENT < 0 THEN CAST('-inf' AS DOUBLE) END AS PAYMENT_PERC,
   AMT_INSTALMENT - AMT_PAYMENT AS PAYMENT_DIFF,
   CASE WHEN DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT > 0 THEN DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT ELSE 0 END AS DPD,
   CASE WHEN DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT > 0 THEN DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT ELSE 0 END AS DBD

@@ -28,8 +28,8 @@ def no_nan(expression: str) -> str:
 def ratio(a: str, b: str) -> str:
     """a / b with signed infinity for x/0 and NULL for 0/0."""
     return (
-        f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) WHEN {a} > 0 THEN CAST('inf' AS DOUBLE) "
-        f"WHEN {a} < 0 THEN CAST('-inf' AS DOUBLE) END"
+        f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) WHEN {b} = 0 AND {a} > 0 THEN CAST('inf' AS DOUBLE) "
+        f"WHEN {b} = 0 AND {a} < 0 THEN CAST('-inf' AS DOUBLE) END"
     )
 
 
