@@ -105,6 +105,7 @@ def run_plan(
     df: DataFrame, key: str, plan: Plan, hot_rows: int = HOT_ROWS, sizes_from: DataFrame | None = None
 ) -> DataFrame:
     order = [col(key), *[col(n) for n in plan.order]]
+    df = df.where(col(key).isNotNull())  # rows without a key belong to no group
 
     def grouped(frame: DataFrame, exact_shuffle: bool, medians: bool) -> DataFrame:
         columns = [c.alias(n) for n, c in plan.simple.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import chunks, col, label_text, numeric_columns
-from riskframe.operators.ranks import exact_quantiles, label_quantiles, ranked_cells
+from riskframe.operators.ranks import exact_quantiles, few_labels, label_quantiles, ranked_cells
 
 CATEGORY_LIMIT = 10
 
@@ -77,6 +77,10 @@ def histogram(
     )
 
 
+def _bounded(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def box_stats(df: DataFrame, category: str, value: str, target: str) -> DataFrame:
     """Five-number summary and 1.5 IQR whiskers per category and class.
 
@@ -98,16 +102,17 @@ def box_stats(df: DataFrame, category: str, value: str, target: str) -> DataFram
         F.col("q3").alias("upper_quartile"),
         F.col("q4").alias("maximum"),
     )
+    few = few_labels(shown, group)
     reach = 1.5 * (F.col("upper_quartile") - F.col("lower_quartile"))
     whiskers = (
-        shown.join(F.broadcast(boxes.select(*group, "lower_quartile", "upper_quartile")), group)
+        shown.join(_bounded(boxes.select(*group, "lower_quartile", "upper_quartile"), few), group)
         .groupBy(*group)
         .agg(
             F.min(F.when(F.col("y") >= F.col("lower_quartile") - reach, F.col("y"))).alias("lower_whisker"),
             F.max(F.when(F.col("y") <= F.col("upper_quartile") + reach, F.col("y"))).alias("upper_whisker"),
         )
     )
-    return boxes.join(F.broadcast(whiskers), group)
+    return boxes.join(whiskers, group)
 
 
 def scatter(df: DataFrame, key: str, x: str, y: str, target: str, only: int | None = None) -> DataFrame:

@@ -36,6 +36,7 @@ SKETCH_ACCURACY = 10_000
 BRACKET = 4.0 / SKETCH_ACCURACY
 MAX_BUCKETS = 1_000
 HOT_VALUES = 1_000
+MAX_LABELS = 1_000
 
 
 def bucket_count(df: DataFrame, range_rows: int = RANGE_ROWS) -> int:
@@ -63,7 +64,8 @@ def hash_rank(
 ) -> DataFrame:
     """Number the rows of every stratum 1..n in the order of md5(key:seed).
 
-    ``key`` must be unique; equal digests are ordered by the key itself.
+    ``key`` must be unique; equal digests are ordered by the key itself. A row
+    without a stratum gets no number.
     """
     order, prefix, base = "__digest", "__prefix", "__base"
     tagged = df.withColumn(order, digest([*[col(k) for k in key], seed])).withColumn(
@@ -83,9 +85,10 @@ def hash_rank(
     )
     inside = Window.partitionBy(*[col(g) for g in group]).orderBy(F.col(order), *[col(k) for k in key])
     numbered = tagged.withColumn("__row", F.row_number().over(inside))
+    # Plain equality on the window's own keys, so the join needs no further shuffle of the rows.
     match = F.col(prefix) == F.col("__p")
     for i, s in enumerate(strata):
-        match = match & col(s).eqNullSafe(F.col(f"__s{i}"))
+        match = (col(s) == F.col(f"__s{i}")) & match
     return (
         numbered.join(offsets, match, "left")
         .withColumn(out, (F.col("__row") + F.col(base)).cast("long"))
@@ -112,21 +115,23 @@ def running_counts(
     measures: Sequence[str],
     buckets: int,
     next_value: str | None = None,
+    few: bool = True,
 ) -> DataFrame:
     """Add ``<m>_below`` per measure: its sum over smaller values of the group.
 
     With ``next_value`` a column of that name holds the next larger value.
 
-    ``counts`` has one row per (group, value). ``group`` must be a bounded
-    label (feature names, a constant), never a data key: the tables of cut
-    points and offsets have at most ``groups x buckets`` rows and are broadcast.
+    ``counts`` has one row per (group, value). ``group`` is a label such as a
+    feature name. The tables of cut points and offsets have at most
+    ``groups x buckets`` rows; they are broadcast when the labels are ``few``
+    (see ``few_labels``) and joined by shuffle otherwise.
     """
     rng = "__range"
     if buckets == 1:
         ranged = counts.withColumn(rng, F.lit(0))
     else:
         cuts = value_ranges(counts, group, value, buckets)
-        ranged = _join_bounded(counts, cuts, group).withColumn(
+        ranged = _join_labels(counts, cuts, group, few).withColumn(
             rng, F.size(F.filter(F.col("__cuts"), lambda c: c < col(value)))
         ).drop("__cuts")
     key = [*group, rng]
@@ -149,15 +154,20 @@ def running_counts(
             F.lead("__first").over(by_range).alias("__next_range"),
         )
     )
-    joined = _join_bounded(result, offsets, key)
+    joined = _join_labels(result, offsets, key, few)
     shifted = {f"{m}_below": F.col(f"{m}_below") + F.col(f"__o_{m}") for m in measures}
     if next_value:
         shifted[next_value] = F.coalesce(F.col(next_value), F.col("__next_range"))
     return joined.withColumns(shifted).drop(rng, "__next_range", *[f"__o_{m}" for m in measures])
 
 
-def _join_bounded(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return big.join(F.broadcast(small), list(keys), "left")
+def _join_labels(big: DataFrame, small: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    return big.join(F.broadcast(small) if few else small, list(keys), "left")
+
+
+def few_labels(df: DataFrame, group: Sequence[str], limit: int = MAX_LABELS) -> bool:
+    """Whether a table with one row per label is small enough to broadcast."""
+    return df.select(*[col(g) for g in group]).distinct().limit(limit + 1).count() <= limit
 
 
 def average_ranks(
@@ -219,16 +229,17 @@ def ranked_cells(
 def label_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
-    """(group..., n, q0, q1, ...): interpolated quantiles per bounded label."""
+    """(group..., n, q0, q1, ...): interpolated quantiles per label."""
     buckets = bucket_count(df) if buckets is None else buckets
     counts = (
         df.where(col(value).isNotNull())
         .groupBy(*[col(g) for g in group], col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    placed = running_counts(counts, group, "__v", ["c"], buckets)
+    few = few_labels(df, group)
+    placed = running_counts(counts, group, "__v", ["c"], buckets, few=few)
     sizes = placed.groupBy(*[col(g) for g in group]).agg(F.sum("c").alias("n"))  # one row per label
-    placed = _join_bounded(placed, sizes, group)
+    placed = _join_labels(placed, sizes, group, few)
 
     def at(position: Column) -> Column:
         inside = (F.col("c_below") <= position) & (position < F.col("c_below") + F.col("c"))

@@ -6,35 +6,45 @@ other partitionings give the same rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskframe.functions.expr import INF, col, digest, unit_interval
 from riskframe.operators.neighbors import nearest_neighbors
-from riskframe.operators.ranks import hash_rank
+from riskframe.operators.ranks import MAX_LABELS, hash_rank
 
 RANK = "__hash_rank"
 
 
-def _with_class_sizes(df: DataFrame, target: str) -> DataFrame:
-    """Add ``__n``, the size of the row's class; one row per class is broadcast."""
-    sizes = df.groupBy(col(target)).agg(F.count(F.lit(1)).alias("__n"))
-    return df.join(F.broadcast(sizes), target)
+def class_sizes(df: DataFrame, target: str, limit: int = MAX_LABELS) -> dict:
+    """Rows per class on the driver; a column with very many values is no class label."""
+    rows = (
+        df.where(col(target).isNotNull())
+        .groupBy(col(target))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .limit(limit + 1)
+        .collect()
+    )
+    if len(rows) > limit:
+        raise ValueError(f"column {target!r} has more than {limit} classes")
+    return {r[0]: r["n"] for r in rows}
 
 
-def class_sizes(df: DataFrame, target: str) -> dict[int, int]:
-    rows = df.where(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r[0]: r["n"] for r in rows}
+def _per_class(values: dict, target: str):
+    """The class's entry as a column."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), col(target)) if pairs else F.lit(None).cast("long")
 
 
 def assign_split(
     df: DataFrame, key: str, target: str, test_share: float = 0.2, seed: int = 42, out: str = "is_test"
 ) -> DataFrame:
     """Add 1 for test rows and 0 for train rows, in class proportion."""
-    ranked = hash_rank(_with_class_sizes(df, target), [key], [target], seed, RANK)
-    cut = F.floor(F.col("__n") * F.lit(test_share) + F.lit(0.5))
-    return ranked.withColumn(out, (F.col(RANK) <= cut).cast("int")).drop(RANK, "__n")
+    cuts = {c: math.floor(test_share * n + 0.5) for c, n in class_sizes(df, target).items()}
+    ranked = hash_rank(df, [key], [target], seed, RANK)
+    return ranked.withColumn(out, (F.col(RANK) <= _per_class(cuts, target)).cast("int")).drop(RANK)
 
 
 def stratified_split(
@@ -49,31 +59,16 @@ def stratified_split(
 
 def stratified_sample(df: DataFrame, key: str, target: str, n: int = 500, seed: int = 42) -> DataFrame:
     """``n`` rows (all rows when there are fewer) in class proportion by largest remainder."""
-    # One row per class.
-    everything = Window.partitionBy()
-    share = (
-        df.groupBy(col(target))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__total", F.sum("__n").over(everything))
-        .withColumn("__ideal", F.col("__n") * F.least(F.lit(n), F.col("__total")) / F.col("__total"))
-    )
-    by_remainder = Window.orderBy((F.col("__ideal") - F.floor("__ideal")).desc(), col(target))
-    quotas = share.select(
-        col(target),
-        (
-            F.floor("__ideal")
-            + (
-                F.row_number().over(by_remainder)
-                <= F.least(F.lit(n), F.col("__total")) - F.sum(F.floor("__ideal")).over(everything)
-            ).cast("long")
-        ).alias("__quota"),
-    )
+    sizes = class_sizes(df, target)
+    total = sum(sizes.values())
+    wanted = min(n, total)
+    ideal = {c: size * wanted / total for c, size in sizes.items()} if total else {}
+    quotas = {c: math.floor(v) for c, v in ideal.items()}
+    by_remainder = sorted(ideal, key=lambda c: (-(ideal[c] - quotas[c]), c))
+    for c in by_remainder[: wanted - sum(quotas.values())]:
+        quotas[c] += 1
     ranked = hash_rank(df, [key], [target], seed, RANK)
-    return (
-        ranked.join(F.broadcast(quotas), target)
-        .where(F.col(RANK) <= F.col("__quota"))
-        .select(*[col(c) for c in df.columns])
-    )
+    return ranked.where(F.col(RANK) <= _per_class(quotas, target)).drop(RANK)
 
 
 def stratified_folds(
