@@ -40,17 +40,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return configure(spark)
 
 
+_TEST_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    When the setting is absent (a local test session) a fresh temporary folder
-    is made and recorded in the session, so that it is made only once.
+    When the setting is absent (a local test session) one temporary folder per
+    application is made instead; other sessions must name a shared folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="riskframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _TEST_FOLDERS:
+        _TEST_FOLDERS[app] = tempfile.mkdtemp(prefix="riskframe-")
+    return _TEST_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
