@@ -138,6 +138,15 @@ def nan_frame_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(col(c)) for c in floats})
 
 
+def combine(items: Sequence[Column], operation) -> Column:
+    """Fold many columns pairwise; the expression is shallow, so planning stays fast."""
+    level = list(items)
+    while len(level) > 1:
+        pairs = [operation(a, b) for a, b in zip(level[::2], level[1::2])]
+        level = pairs + ([level[-1]] if len(level) % 2 else [])
+    return level[0]
+
+
 def chunks(items: Sequence, size: int):
     for start in range(0, len(items), size):
         yield items[start : start + size]

@@ -6,6 +6,7 @@ limits) is applied as plain expressions.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from riskframe.functions.expr import (
     bool_to_int,
     chunks,
     col,
+    combine,
     finite,
     nan_to_null,
     numeric_columns,
@@ -61,9 +63,7 @@ def drop_sparse_columns(df: DataFrame, target: str, threshold: float) -> DataFra
 
 def drop_sparse_rows(df: DataFrame, threshold: float) -> DataFrame:
     """Drop rows filled below half the threshold over all remaining columns."""
-    filled = F.aggregate(
-        F.array(*[col(c).isNotNull().cast("int") for c in df.columns]), F.lit(0), lambda acc, x: acc + x
-    )
+    filled = combine([col(c).isNotNull().cast("int") for c in df.columns], operator.add)
     return df.where(F.lit(100.0) * filled / F.lit(len(df.columns)) >= F.lit(threshold * 0.5))
 
 
@@ -160,22 +160,20 @@ def remove_outliers(
     are ever dropped. Without any complete row the result is empty.
     """
     features = [c for c in df.columns if c != target]
-    text = set(string_columns(df))
-    parsed = {c: to_double(col(c)) if c in text else nan_to_null(col(c).cast("double")) for c in features}
-    complete = None
-    for c in features:
-        present = parsed[c].isNotNull()
-        complete = present if complete is None else complete & present
-    if complete is None:
+    if not features:
         return df
+    text = set(string_columns(df))
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    parsed = {c: to_double(col(c)) if c in text else col(c).cast("double") for c in features}
+    complete = combine(
+        [parsed[c].isNotNull() & ~F.isnan(col(c)) if c in floating else parsed[c].isNotNull() for c in features],
+        operator.and_,
+    )
     fitted = df.where(complete).select(*[parsed[c].alias(c) for c in features])
     limits = exact_quantiles(fitted, features, [percent / 100, (100 - percent) / 100], cell_limit)
     if all(v[0] is None for v in limits.values()):
         return df.where(F.lit(False))
-    outside = F.lit(False)
-    for c in features:
-        low, high = limits[c]
-        outside = outside | (parsed[c] < F.lit(low)) | (parsed[c] > F.lit(high))
+    outside = combine([~parsed[c].between(*limits[c]) for c in features], operator.or_)
     return df.where(~(complete & outside))
 
 

@@ -277,15 +277,19 @@ def exact_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    sizes: dict[str, int] = {}
-    for part in chunks(columns, 500):
-        row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(part)]).first()
-        sizes.update({c: row[i] for i, c in enumerate(part)})
-    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if sizes[c] == 0}
-    direct = [c for c in columns if 0 < sizes[c] <= cell_limit]
-    bracketed = [c for c in columns if sizes[c] > cell_limit]
+    rows = df.count()
+    if rows <= cell_limit:  # no column can hold more values
+        sizes, direct, bracketed, result = {}, columns, [], {}
+    else:
+        sizes = {}
+        for part in chunks(columns, 500):
+            row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(part)]).first()
+            sizes.update({c: row[i] for i, c in enumerate(part)})
+        result = {c: [None] * len(probs) for c in columns if sizes[c] == 0}
+        direct = [c for c in columns if 0 < sizes[c] <= cell_limit]
+        bracketed = [c for c in columns if sizes[c] > cell_limit]
     if direct:
-        width = max(1, min(100, cell_limit // max(sizes[c] for c in direct)))
+        width = max(1, min(100, cell_limit // max([1, *(sizes.get(c, rows) for c in direct)])))
         for part in chunks(direct, width):
             row = df.agg(
                 *[
@@ -293,7 +297,7 @@ def exact_quantiles(
                     for i, c in enumerate(part)
                 ]
             ).first()
-            result.update({c: list(row[i]) for i, c in enumerate(part)})
+            result.update({c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(part)})
     for part in chunks(bracketed, 50):
         result.update(_bracketed_quantiles(df, part, probs, sizes))
     return result
