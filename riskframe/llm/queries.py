@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, urls
+from riskframe.llm import chat, minhash, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -118,3 +118,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_conversations(rows.unionByName(hostile)))
+
+
+# --- op3 -------------------------------------------------------------------
+
+
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

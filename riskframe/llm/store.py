@@ -28,3 +28,8 @@ def remove(spark: SparkSession, *files: str) -> None:
     for name in files:
         folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows per Arrow batch for whole texts, which can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
