@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, minhash, urls
+from riskframe.llm import chat, minhash, pieces, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -22,6 +22,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers; they are never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -126,3 +133,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- op9 -------------------------------------------------------------------
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), digests=True)
