@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, minhash, pieces, urls
+from riskframe.llm import chat, minhash, pieces, quality, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -142,3 +142,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
+# --- op10 ------------------------------------------------------------------
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_quality(docs, model)
+    predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
