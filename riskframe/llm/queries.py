@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, minhash, pieces, quality, urls
+from riskframe.llm import chat, lines, minhash, pieces, quality, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -154,3 +154,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.with_quality(docs, model)
     predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+# --- op1 -------------------------------------------------------------------
+
+# By pairs of equal lines: chains of such pairs with 50 words or more are runs.
+OP1_SQL = r"""
+WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+counted AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '\S+')) AS words FROM split),
+lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM counted WHERE words > 0),
+pairs AS (
+  SELECT b.doc_id, b.pos, b.n, b.words, a.doc_id AS other, a.n - b.n AS shift
+  FROM lines a JOIN lines b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.n < b.n)),
+chains AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY n) AS chain FROM pairs),
+runs AS (
+  SELECT doc_id, min(pos) AS first, max(pos) AS last FROM chains
+  GROUP BY doc_id, other, shift, chain HAVING sum(words) >= 50),
+gone AS (SELECT DISTINCT s.doc_id, s.pos FROM counted s JOIN (SELECT DISTINCT * FROM runs) r ON s.doc_id = r.doc_id AND s.pos BETWEEN r.first AND r.last),
+kept AS (
+  SELECT c.doc_id, count(*) AS n_lines, count(g.pos) AS deleted_lines,
+         coalesce(string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+  FROM counted c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.pos = g.pos GROUP BY c.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(deleted_lines, 0) AS deleted_lines,
+       length(coalesce(k.text, d.text, '')) AS kept_chars, sha256(coalesce(k.text, d.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    out = lines.delete_repeated_lines(docs.withColumn("n_lines", count))
+    gone = F.aggregate("deleted_runs", F.lit(0).cast("bigint"), lambda a, r: a + r["last"] - r["first"] + 1)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        gone.alias("deleted_lines"),
+        F.length(text).cast("bigint").alias("kept_chars"),
+        F.sha2(text, 256).alias("kept_sha256"),
+    )
