@@ -6,12 +6,10 @@ after a circular shift by k. As a shift only moves the start, all coordinates of
 a shingle are one slice of the rank table. Bands of four coordinates give
 buckets; pairs from buckets are confirmed on the full shingle sets.
 
-No bucket is ever expanded into all its pairs. Equal sets are one vertex. Then
-each bucket's members are compared with its smallest one, and after that only
-members of different components are, with a number of probes per bucket that
-grows eightfold a round, until every bucket is one component or every member
-has been a probe. So each pair that shares a bucket is either compared or
-already linked over others.
+No bucket is ever expanded into all its pairs. Equal sets are one vertex. Each
+bucket's members are compared with its smallest one first; after that only
+documents outside a bucket's largest component meet the bucket, so every pair
+that shares a bucket is either compared or already linked over others.
 
 Defined cases: null, empty or blank texts have no shingles and link with
 nothing; fewer words than a shingle give one shingle of all words; rows without
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.components import connected_components
-from riskframe.llm.store import drop, keep, small_batches
+from riskframe.llm.store import keep, small_batches
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -151,6 +149,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _links_between_components(
+    members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int
+) -> DataFrame:
+    """All links of documents that share a bucket and are not yet connected.
+
+    Of two such documents one at least is no member of the bucket's largest
+    component, so only those meet the whole bucket. A document whose shingles
+    are too often found in no other open document cannot have a partner and is
+    left out first. A pair is compared in the first bucket that it shares, on
+    the full sets, inside the join, so that only links become rows.
+    """
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+    )
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    named = keep(named.join(several.where("low <> high").select("key"), "key"), "open")
+
+    inside = sets.join(named.select("rep").distinct(), "rep", "left_semi")
+    alone = (
+        inside.select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+        .groupBy("rep").agg(F.count("*").alias("alone"))
+    )
+    alive = named.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    alive = keep(alive.where(100 * F.col("shared") >= percent * F.col("n")).drop("alone"), "alive")
+    sizes = alive.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = (
+        sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("largest"))
+        .where("parts > 1").select("key", "largest")
+    )
+    full = (
+        alive.join(largest, "key")
+        .join(sets, "rep")
+        .join(classes.select("rep", "bands"), "rep")
+        .withColumn("outside", F.col("component") != F.col("largest"))
+        .drop("largest")
+    )
+    left = full.where("outside").select("key", *[F.col(c).alias(f"a_{c}") for c in ("rep", "n", "shared", "component", "shingles", "bands")])
+    right = full.select("key", *[F.col(c).alias(f"b_{c}") for c in ("rep", "n", "shared", "component", "shingles", "bands", "outside")])
+    both, total = F.size(F.array_intersect("a_shingles", "b_shingles")), F.col("a_n") + F.col("b_n")
+    linked = (
+        (left["key"] == right["key"])
+        & (F.col("a_component") != F.col("b_component"))
+        & (~F.col("b_outside") | (F.col("a_rep") < F.col("b_rep")))
+        & _near_in_size(F.col("a_n"), F.col("b_n"), percent)
+        & ((100 + percent) * F.least("a_shared", "b_shared") >= percent * total)
+        & (F.array_min(F.array_intersect("a_bands", "b_bands")) == left["key"])
+        & ((100 + percent) * both >= percent * total)
+    )
+    return keep(left.join(right, linked).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "links")
+
+
 def _near_in_size(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -195,38 +245,9 @@ def near_duplicates(
     links = keep(_confirmed(pairs, sets, percent), "links")
     labels = connected_components(links)
 
-    # Each bucket's probes: members whose hash, times the bucket's size, falls into the round's range.
-    spread = (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)) * F.col("c")
-    probed = 0
-    while True:
-        current = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n", "c", F.coalesce("component", "rep").alias("component")
-        )
-        open_buckets = (
-            current.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("c").alias("size"))
-            .where((F.col("low") != F.col("high")) & (F.col("size") > probed))
-            .select("key")
-        )
-        current = keep(current.join(open_buckets, "key"), "open")
-        if current.isEmpty():
-            break
-        upto = max(8, probed * 8)
-        probes = current.where((spread >= probed) & (spread < upto)).select(
-            "key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")
-        )
-        pairs = (
-            probes.join(current, "key")
-            .where((F.col("pc") != F.col("component")) & _near_in_size(F.col("n"), F.col("pn"), percent))
-            .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-            .distinct()
-        )
-        more = keep(_confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected_components(links)
-        drop(current)
-        probed = upto
+    more = _links_between_components(members, labels, sets, classes, percent)
+    if not more.isEmpty():
+        labels = connected_components(links.union(more))
 
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
