@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, lines, minhash, pieces, quality, urls
+from riskframe.llm import chat, lines, minhash, packing, pieces, quality, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -195,3 +195,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(text).cast("bigint").alias("kept_chars"),
         F.sha2(text, 256).alias("kept_sha256"),
     )
+
+
+# --- op4 -------------------------------------------------------------------
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
