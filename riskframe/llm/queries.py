@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, lines, minhash, packing, pieces, quality, urls
+from riskframe.llm import chat, lines, minhash, packing, pieces, quality, secrets, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -203,3 +203,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+# --- op2 -------------------------------------------------------------------
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("start").cast("bigint").alias("start"),
+        F.length("value").cast("bigint").alias("length"),
+        F.sha2("value", 256).alias("value_sha256"),
+        "score",
+        "is_secret",
+    )
