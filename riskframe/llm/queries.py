@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, lines, minhash, packing, pieces, quality, secrets, urls
+from riskframe.llm import chat, forest, lines, minhash, packing, pieces, quality, secrets, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -219,3 +219,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "is_secret",
     )
+
+
+# --- op8 -------------------------------------------------------------------
+
+
+@query("op8_vector_forest")
+def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
