@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, forest, lines, minhash, packing, pieces, quality, secrets, urls
+from riskframe.llm import chat, forest, hamming, lines, minhash, packing, pieces, quality, secrets, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -227,3 +227,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_vector_forest")
 def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# --- op5 -------------------------------------------------------------------
+
+OP5_SQL = """
+WITH bits AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE len(embedding) BETWEEN 1 AND 64),
+codes AS (SELECT vec_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END) AS UBIGINT) AS code FROM bits GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(CAST(xor(q.code, c.code) AS BIT)) AS INTEGER) AS distance
+  FROM codes q, codes c WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op5_hamming_topk", OP5_SQL)
+def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 100, itself included."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    out = hamming.nearest_codes(codes, codes.where(F.col("id") % 100 == 0))
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
