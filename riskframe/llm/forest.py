@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Every tree splits by random directions, one per level: a node's threshold is the
-median of a bounded sample there, and vectors near the threshold go to both
-sides (spill). Levels below the sample's reach take the threshold from the
+Every tree splits by random directions, one per level: a node's threshold is a
+sparse place near the median of a bounded sample there, and vectors near the
+threshold go to both sides (spill). Levels below the sample's reach take the threshold from the
 deepest node that the sample still fills, so depth grows with the number of
 vectors and leaves keep their size. Vectors that share a leaf are compared by
 cosine in double precision. A large leaf is dealt out as pairs of blocks.
@@ -33,8 +33,8 @@ from riskframe.llm.store import keep
 COSINE = 0.9
 TREES = 10
 LEAF = 256
-#: Share of a node's sample on each side of the threshold that goes both ways.
-SPILL = 0.03
+#: Vectors this close to a threshold go both ways, in units of the usual offset of a pair at the cosine bound.
+SPILL = 0.2
 #: Vectors that thresholds are fitted on, at most.
 SAMPLE = 20_000
 #: Sample vectors that a node needs for a threshold of its own.
@@ -47,29 +47,41 @@ SEED = 8
 class Forest:
     """Directions and thresholds; their size depends on the sample alone."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL):
+    def __init__(
+        self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE
+    ):
         rng = np.random.default_rng(SEED)
         self.depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf))))
         self.fitted = max(0, min(self.depth, int(np.log2(max(len(sample), 1) / NODE_SAMPLE))))
         dims = sample.shape[1]
-        self.directions = rng.normal(size=(trees, self.depth, dims))
+        self.directions = _unit(rng.normal(size=(trees * self.depth, dims))).reshape(trees, self.depth, dims)
+        # How far two vectors at the cosine bound usually lie apart in one direction.
+        self.offset = np.sqrt((2 - 2 * cosine) / dims)
+        self.spill = spill * self.offset
         # Thresholds by tree, level and node; levels past `fitted` use the node of that level.
-        self.middle, self.low, self.high = [], [], []
+        self.thresholds = []
         for t in range(trees):
             projected = sample @ self.directions[t].T
             node = np.zeros(len(sample), np.int64)
             for level in range(self.depth):
-                nodes = 1 << min(level, self.fitted)
-                cuts = np.zeros((3, nodes))
-                for k in range(nodes):
-                    x = projected[node == k, level]
-                    if len(x):
-                        cuts[:, k] = np.quantile(x, [0.5, 0.5 - spill, 0.5 + spill])
-                self.middle.append(cuts[0])
-                self.low.append(cuts[1])
-                self.high.append(cuts[2])
+                cuts = np.array([self._threshold(projected[node == k, level]) for k in range(1 << min(level, self.fitted))])
+                self.thresholds.append(cuts)
                 if level < self.fitted:
-                    node = node * 2 + (projected[:, level] > cuts[0][node])
+                    node = node * 2 + (projected[:, level] > cuts[node])
+
+    def _threshold(self, x: np.ndarray) -> float:
+        """The emptiest place between the third and seventh tenth; none where most vectors lie close to it.
+
+        So a dense group is not cut through. One that fills its node stays
+        together, and its leaf is dealt out in blocks.
+        """
+        if not len(x):
+            return 0.0
+        x = np.sort(x)
+        places = np.quantile(x, np.linspace(0.3, 0.7, 17))
+        near = np.searchsorted(x, places + self.offset) - np.searchsorted(x, places - self.offset)
+        best = min(range(17), key=lambda i: (near[i], abs(i - 8)))
+        return float(places[best]) if near[best] <= 0.6 * len(x) else np.inf
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, tree, leaf) of every place that the vectors go to."""
@@ -78,9 +90,8 @@ class Forest:
             row, node, top = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
             projected = x @ self.directions[t].T
             for level in range(self.depth):
-                k = t * self.depth + level
-                p, at = projected[row, level], top
-                right, left = p > self.low[k][at], p <= self.high[k][at]
+                p, cut = projected[row, level], self.thresholds[t * self.depth + level][top]
+                left, right = p <= cut + self.spill, p > cut - self.spill
                 row = np.concatenate([row[left], row[right]])
                 node = np.concatenate([node[left] * 2, node[right] * 2 + 1])
                 top = node if level < self.fitted else np.concatenate([top[left], top[right]])
@@ -201,7 +212,7 @@ def near_vectors(
         sample = np.asarray(drawn.select("embedding").toArrow().column(0).combine_chunks().flatten(), np.float64).reshape(-1, width)
         if not len(sample):
             sample = np.array([classes.first().embedding], np.float64)
-        shared = spark.sparkContext.broadcast(Forest(_unit(sample), total, trees, leaf, spill))
+        shared = spark.sparkContext.broadcast(Forest(_unit(sample), total, trees, leaf, spill, cosine))
         schema = f"place bigint, rep bigint, copies bigint, embedding {kind}, places array<bigint>"
         spread = classes.select("rep", "copies", "embedding").mapInArrow(_places(shared), schema)
         sizes = spread.groupBy("place").agg(F.count("*").alias("c")).where("c > 1")

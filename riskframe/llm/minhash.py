@@ -164,7 +164,8 @@ def _links_between_components(
         "key", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    named = keep(named.join(several.where("low <> high").select("key"), "key"), "open")
+    several = keep(several.where("low <> high").select("key"), "several")
+    named = keep(named.join(several, "key"), "open")
 
     inside = sets.join(named.select("rep").distinct(), "rep", "left_semi")
     alone = (
@@ -179,6 +180,7 @@ def _links_between_components(
         sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("largest"))
         .where("parts > 1").select("key", "largest")
     )
+    largest = keep(largest, "largest")
     full = (
         alive.join(largest, "key")
         .join(sets, "rep")
@@ -232,9 +234,10 @@ def near_duplicates(
         "classes",
     )
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = (
-        keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("head")).where("c > 1")
-    )
+    # Stored, as are the other tables below that are joined back to the rows they sum
+    # up: a join over two plain shuffles can split a hot bucket.
+    heads = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("head"))
+    crowded = keep(heads.where("c > 1").select("key", "head"), "crowded")
     members = keep(keys.join(crowded, "key"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
