@@ -32,7 +32,7 @@ from riskframe.llm.store import small_batches
 MARK = "▁"
 NO_RANK = np.int64(2**62)
 #: Words that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longer words are not remembered.
 LONGEST = 200
 #: Symbols of one flat array.
@@ -212,12 +212,13 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[int, bytes, bytes]]:
         """Entries of all the words; those of short words are remembered."""
-        new = [w for w in set(words) if w not in self.known]
+        wanted = set(words)
+        new = [w for w in wanted if w not in self.known]
         extra = {}
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = list(set(words))
+                new = list(wanted)
             for w, ids in zip(new, self.model.encode_words(new)):
                 entry = (len(ids), ",".join(map(str, ids)).encode(), self.model.decode_bytes(ids))
                 (self.known if len(w) <= LONGEST else extra)[w] = entry
