@@ -56,7 +56,7 @@ class Plan:
 
 
 def distinct_count(v: Column, when: Column | None, exact_shuffle: bool) -> Column:
-    n = F.count_distinct(v) if exact_shuffle else F.size(F.collect_set(v)).cast("long")
+    n = F.count_distinct(v) if exact_shuffle else F.size(F.array_distinct(F.collect_set(v))).cast("long")
     return n if when is None else F.when(F.count(F.when(when, 1)) > 0, n)
 
 
@@ -116,7 +116,8 @@ def run_plan(
             # Medians keep all values, so partial aggregates would be larger than the
             # rows themselves. Shuffle the rows once; groups are of bounded size here.
             frame = frame.repartition(col(key))
-        return frame.groupBy(col(key)).agg(*columns)
+        # A spec of medians alone leaves no column for the large groups' plain pass.
+        return frame.groupBy(col(key)).agg(*columns) if columns else frame.select(col(key)).distinct()
 
     needs_values = bool(plan.medians or plan.distinct)
     hot = hot_groups(df if sizes_from is None else sizes_from, key, hot_rows) if needs_values else None

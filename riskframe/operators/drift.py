@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col
-from riskframe.operators.ranks import bucket_count, running_counts, to_long
+from riskframe.operators.ranks import running_counts, to_long, with_buckets
 
 SIDE = "side"
 REFERENCE, CURRENT = "reference", "current"
@@ -32,12 +32,12 @@ def _is(side: str):
 
 def drift_numeric(sides: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """(feature, n_reference, n_current, ks, wasserstein, wasserstein_normed)."""
-    buckets = bucket_count(sides) if buckets is None else buckets
     counts = (
         to_long(sides, columns, [SIDE])
         .groupBy("feature", "value")
         .agg(F.sum(_is(REFERENCE)).alias("r"), F.sum(_is(CURRENT)).alias("c"))
     )
+    counts, buckets = with_buckets(counts, buckets)
     placed = running_counts(counts, ["feature"], "value", ["r", "c"], buckets, next_value="next")
     # One row per feature.
     totals = counts.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))

@@ -9,9 +9,12 @@ task:
   their prefix only.
 * ``running_counts`` turns "rows below this value" into a sum over value ranges
   plus a sum inside one range; the ranges come from a quantile sketch.
-* ``exact_quantiles`` and ``grouped_quantiles`` bracket the wanted order
-  statistic with a quantile sketch of bounded size and then look only at the
-  few rows inside the bracket.
+* ``values_at`` finds order statistics by narrowing: it counts the values between
+  cut points and goes on with the parts that hold a wanted position.
+* ``exact_quantiles`` brackets the wanted order statistics of whole columns with a
+  quantile sketch and looks only at the rows inside the bracket.
+
+Every helper works in one way whatever the size of its input.
 """
 
 from __future__ import annotations
@@ -24,30 +27,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import chunks, col, digest, nan_to_null
+from riskframe.session import materialize
 
-# Values held by one aggregation buffer of the direct method.
-CELL_LIMIT = 5_000_000
-# Rows up to which running counts use a plain window per label.
+# Distinct values that one task puts in order.
+CELL_LIMIT = 1_000_000
 RANGE_ROWS = 1_000_000
-# Rows of one group from which the sketch method is used for grouped quantiles.
+# Rows of one group up to which its values are held as an array.
 HOT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 # Rank error of the sketch is at most 1/accuracy; the bracket is four times that.
 BRACKET = 4.0 / SKETCH_ACCURACY
-MAX_BUCKETS = 1_000
-HOT_VALUES = 1_000
+# Parts of one narrowing round, and slices of a group that is joined with its cut points.
+PARTS = 32
+SALTS = 32
+# Labels whose tables are small enough to broadcast.
 MAX_LABELS = 1_000
 
 
-def bucket_count(df: DataFrame, range_rows: int = RANGE_ROWS) -> int:
-    """Value ranges for running counts over the rows of ``df``.
-
-    One when a single task can hold the rows, otherwise as many as there are
-    shuffle partitions, within bounds.
-    """
-    if df.count() <= range_rows:
-        return 1
-    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def bucket_count(counts: DataFrame, range_rows: int = RANGE_ROWS) -> int:
+    """Value ranges for running counts over the rows of a stored table of counts."""
+    return max(1, -(-counts.count() // range_rows))
 
 
 # --------------------------------------------------------------------------
@@ -101,13 +100,21 @@ def hash_rank(
 
 
 def value_ranges(df: DataFrame, group: Sequence[str], value: str, buckets: int) -> DataFrame:
-    """``buckets - 1`` cut points per group, from a mergeable quantile sketch."""
+    """At most ``buckets - 1`` cut points per group, from a mergeable quantile sketch."""
     probs = [i / buckets for i in range(1, buckets)]
     return df.groupBy(*[col(g) for g in group]).agg(
-        F.array_distinct(F.percentile_approx(col(value), probs, 1000)).alias("__cuts")
+        F.array_distinct(F.percentile_approx(col(value), probs, max(1000, 10 * buckets))).alias("__cuts")
     )
 
 
+def range_of(value: Column, cuts: Column, buckets: int) -> Column:
+    """Number of cut points below the value: first among every n-th one, then in between."""
+    step = max(1, math.isqrt(buckets))
+    coarse = F.filter(cuts, lambda c, i: i % step == step - 1)
+    block = F.size(F.filter(coarse, lambda c: c < value))
+    return block * step + F.size(F.filter(F.slice(cuts, block * step + 1, F.lit(step)), lambda c: c < value))
+
+
 def running_counts(
     counts: DataFrame,
     group: Sequence[str],
@@ -132,7 +139,7 @@ def running_counts(
     else:
         cuts = value_ranges(counts, group, value, buckets)
         ranged = _join_labels(counts, cuts, group, few).withColumn(
-            rng, F.size(F.filter(F.col("__cuts"), lambda c: c < col(value)))
+            rng, range_of(col(value), F.col("__cuts"), buckets)
         ).drop("__cuts")
     key = [*group, rng]
     ordered = Window.partitionBy(*[col(k) for k in key]).orderBy(col(value))
@@ -161,6 +168,14 @@ def running_counts(
     return joined.withColumns(shifted).drop(rng, "__next_range", *[f"__o_{m}" for m in measures])
 
 
+def with_buckets(counts: DataFrame, buckets: int | None) -> tuple[DataFrame, int]:
+    """The counts and their number of ranges; they are stored first when it has to be found out."""
+    if buckets is not None:
+        return counts, buckets
+    counts = materialize(counts, "counts")
+    return counts, bucket_count(counts)
+
+
 def _join_labels(big: DataFrame, small: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
     return big.join(F.broadcast(small) if few else small, list(keys), "left")
 
@@ -174,8 +189,8 @@ def average_ranks(
     df: DataFrame, group: Sequence[str], value: str, buckets: int | None = None
 ) -> DataFrame:
     """(group, value, n, rank): average rank of every distinct value per group."""
-    buckets = bucket_count(df) if buckets is None else buckets
     counts = df.groupBy(*[col(g) for g in group], col(value)).agg(F.count(F.lit(1)).alias("n"))
+    counts, buckets = with_buckets(counts, buckets)
     return running_counts(counts, group, value, ["n"], buckets).withColumn(
         "rank", F.col("n_below") + (F.col("n") + 1) / 2
     )
@@ -193,50 +208,28 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
     )
 
 
-def ranked_cells(
-    df: DataFrame, key: str, columns: Sequence[str], buckets: int | None = None, hot_rows: int = RANGE_ROWS
-) -> DataFrame:
+def ranked_cells(df: DataFrame, key: str, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """(key, feature, value, n, n_below): every cell with its place among all rows.
 
-    The counts are joined back to the cells on (feature, value). A frequent
-    value would make one huge join task, so the at most ``HOT_VALUES`` most
-    frequent values per column are broadcast and only the others are shuffled.
+    The places are stored, so the join back to the cells has plain shuffles on
+    both sides and adaptive execution can split a frequent value.
     """
-    rows = df.count()
     cells = to_long(df, columns, [key])
-    buckets = bucket_count(df) if buckets is None else buckets
     places = average_ranks(cells, ["feature"], "value", buckets).select("feature", "value", "n", "n_below")
-    if rows <= hot_rows:
-        return cells.join(places, ["feature", "value"])
-    limit = max(1, rows // HOT_VALUES)  # at most HOT_VALUES values per column reach it
-    hot = places.where(F.col("n") >= limit).select(
-        "feature", "value", F.col("n").alias("__n"), F.col("n_below").alias("__b")
-    )
-    cold = places.where(F.col("n") < limit)
-    marked = cells.join(F.broadcast(hot), ["feature", "value"], "left")
-    common = marked.where(F.col("__n").isNotNull()).select(
-        col(key), "feature", "value", F.col("__n").alias("n"), F.col("__b").alias("n_below")
-    )
-    rare = (
-        marked.where(F.col("__n").isNull())
-        .drop("__n", "__b")
-        .join(cold, ["feature", "value"])
-        .select(col(key), "feature", "value", "n", "n_below")
-    )
-    return common.unionByName(rare)
+    return cells.join(materialize(places, "places"), ["feature", "value"])
 
 
 def label_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
     """(group..., n, q0, q1, ...): interpolated quantiles per label."""
-    buckets = bucket_count(df) if buckets is None else buckets
     counts = (
         df.where(col(value).isNotNull())
         .groupBy(*[col(g) for g in group], col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    few = few_labels(df, group)
+    counts, buckets = with_buckets(counts, buckets)
+    few = few_labels(counts, group)
     placed = running_counts(counts, group, "__v", ["c"], buckets, few=few)
     sizes = placed.groupBy(*[col(g) for g in group]).agg(F.sum("c").alias("n"))  # one row per label
     placed = _join_labels(placed, sizes, group, few)
@@ -259,6 +252,61 @@ def label_quantiles(
     return picked.select(*[col(g) for g in group], "n", *result)
 
 
+# --------------------------------------------------------------------------
+# Order statistics
+
+
+def values_at(counts: DataFrame, group: Sequence[str], wanted: DataFrame, limit: int = CELL_LIMIT) -> DataFrame:
+    """(group..., pos, v): the value at each wanted position of each group, counted from 0.
+
+    ``counts`` has one row (group..., v, c) per distinct value, ``wanted`` one
+    row (group..., pos) per position. While a group, or what is left of it, has
+    more than ``limit`` distinct values, its values between cut points are
+    counted and only the parts with a wanted position stay. Joins with the few
+    cut points and parts of a group are dealt over ``SALTS`` slices.
+    """
+    group = list(group)
+    key = [*group, "__part"]
+    live = counts.select(*[col(g) for g in group], "v", "c", F.lit(0).cast("long").alias("__part"))
+    goals = wanted.select(
+        *[col(g) for g in group], "pos", F.lit(0).cast("long").alias("__part"), F.lit(0).cast("long").alias("__base")
+    )
+    live, goals = materialize(live, "values"), materialize(goals, "goals")
+    slices = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("__salt")
+    while True:
+        size = live.groupBy(*[col(k) for k in key]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if size is None or size <= limit:
+            break
+        live = live.withColumn("__salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        cuts = value_ranges(live, key, "v", PARTS).select("*", slices)
+        dealt = live.join(cuts, [*key, "__salt"]).withColumn("__next", range_of(F.col("v"), F.col("__cuts"), PARTS)).drop("__cuts")
+        sums = dealt.groupBy(*[col(k) for k in key], "__next").agg(F.sum("c").alias("__c"))
+        before = Window.partitionBy(*[col(k) for k in key]).orderBy("__next").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("__below", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        place = F.col("pos") - F.col("__base")
+        goals = materialize(
+            goals.join(sums, key)
+            .where((F.col("__below") <= place) & (place < F.col("__below") + F.col("__c")))
+            .select(
+                *[col(g) for g in group], "pos",
+                (F.col("__part") * (PARTS + 1) + F.col("__next")).alias("__part"),
+                (F.col("__base") + F.col("__below")).alias("__base"),
+            ),
+            "goals",
+        )
+        parts = goals.select(*[col(k) for k in key]).distinct().select("*", slices)
+        dealt = dealt.withColumn("__part", F.col("__part") * (PARTS + 1) + F.col("__next")).drop("__next")
+        live = materialize(dealt.join(parts, [*key, "__salt"], "left_semi").drop("__salt"), "values")
+    upto = Window.partitionBy(*[col(k) for k in key]).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = live.withColumn("__upto", F.sum("c").over(upto))
+    place = F.col("pos") - F.col("__base")
+    return (
+        placed.join(goals, key)
+        .where((place < F.col("__upto")) & (place >= F.col("__upto") - F.col("c")))
+        .select(*[col(g) for g in group], "pos", "v")
+    )
+
+
 # --------------------------------------------------------------------------
 # Quantiles of whole columns
 
@@ -271,111 +319,68 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of each column, missing values skipped.
 
-    A column whose values fit one aggregation buffer is answered directly;
-    beyond ``cell_limit`` values the sketch method gives the same numbers.
+    Three scans for up to 200 columns. ``cell_limit``: distinct values inside a
+    bracket that one task puts in order.
     """
-    columns = list(columns)
-    if not columns:
-        return {}
-    rows = df.count()
-    if rows <= cell_limit:  # no column can hold more values
-        sizes, direct, bracketed, result = {}, columns, [], {}
-    else:
-        sizes = {}
-        for part in chunks(columns, 500):
-            row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(part)]).first()
-            sizes.update({c: row[i] for i, c in enumerate(part)})
-        result = {c: [None] * len(probs) for c in columns if sizes[c] == 0}
-        direct = [c for c in columns if 0 < sizes[c] <= cell_limit]
-        bracketed = [c for c in columns if sizes[c] > cell_limit]
-    if direct:
-        width = max(1, min(100, cell_limit // max([1, *(sizes.get(c, rows) for c in direct)])))
-        for part in chunks(direct, width):
-            row = df.agg(
-                *[
-                    F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(str(i))
-                    for i, c in enumerate(part)
-                ]
-            ).first()
-            result.update({c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(part)})
-    for part in chunks(bracketed, 50):
-        result.update(_bracketed_quantiles(df, part, probs, sizes))
+    result: dict[str, list[float | None]] = {}
+    for part in chunks(list(columns), 200):
+        result.update(_bracketed_quantiles(df, part, probs, cell_limit))
     return result
 
 
-def _bracketed_quantiles(df, columns, probs, sizes, pad=BRACKET):
+def _bracketed_quantiles(df, columns, probs, cell_limit, pad=BRACKET):
     """Quantiles by a sketch bracket and an exact count inside it."""
-    wanted = [(c, p) for c in columns for p in probs]
     ends = [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs]
     row = df.agg(
         *[
-            F.percentile_approx(col(c).cast("double"), [float(e) for e in ends], SKETCH_ACCURACY).alias(str(i))
+            F.percentile_approx(col(c).cast("double"), [float(e) for e in ends], SKETCH_ACCURACY).alias(f"s{i}")
             for i, c in enumerate(columns)
-        ]
+        ],
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
     ).first()
-    brackets = {}
-    for i, c in enumerate(columns):
-        for j, p in enumerate(probs):
-            low = -math.inf if p - pad <= 0 else row[i][j]
-            high = math.inf if p + pad >= 1 else row[i][len(probs) + j]
-            brackets[(c, p)] = (low, high)
-
-    below_row = df.agg(
-        *[
-            F.sum(F.when(col(c) < F.lit(brackets[(c, p)][0]), 1).otherwise(0)).alias(str(i))
-            for i, (c, p) in enumerate(wanted)
-        ]
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    result: dict[str, list] = {c: [None] * len(probs) for c in columns if not sizes[c]}
+    sketch = {c: row[f"s{i}"] for i, c in enumerate(columns)}
+    wanted = [(c, j) for c in columns if sizes[c] for j in range(len(probs))]
+    if not wanted:
+        return result
+    low = [-math.inf if probs[j] - pad <= 0 else sketch[c][j] for c, j in wanted]
+    high = [math.inf if probs[j] + pad >= 1 else sketch[c][len(probs) + j] for c, j in wanted]
+    below = df.agg(
+        *[F.sum(F.when(col(c) < F.lit(low[i]), 1).otherwise(0)).alias(str(i)) for i, (c, j) in enumerate(wanted)]
     ).first()
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(
-                    (col(c) >= F.lit(brackets[(c, p)][0])) & (col(c) <= F.lit(brackets[(c, p)][1])),
-                    col(c).cast("double"),
-                ).alias("v"),
+                F.when((col(c) >= F.lit(low[i])) & (col(c) <= F.lit(high[i])), col(c).cast("double")).alias("v"),
             )
-            for i, (c, p) in enumerate(wanted)
+            for i, (c, j) in enumerate(wanted)
         ]
     )
     inside = (
         df.select(F.explode(F.filter(cells, lambda s: s["v"].isNotNull())).alias("s"))
         .groupBy("s.i", "s.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    targets = {}
-    for i, (c, p) in enumerate(wanted):
-        position = p * (sizes[c] - 1)
-        targets[i] = (position, math.floor(position) - below_row[i], math.ceil(position) - below_row[i])
-    lower = F.element_at(F.create_map(*[F.lit(x) for i, t in targets.items() for x in (i, t[1])]), F.col("i"))
-    upper = F.element_at(F.create_map(*[F.lit(x) for i, t in targets.items() for x in (i, t[2])]), F.col("i"))
-    picked = (
-        inside.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("from", F.col("upto") - F.col("n"))
-        .withColumns(
-            {
-                "lo": (F.col("from") <= lower) & (lower < F.col("upto")),
-                "hi": (F.col("from") <= upper) & (upper < F.col("upto")),
-            }
-        )
-        .where(F.col("lo") | F.col("hi"))
-        .collect()  # at most two rows per wanted quantile
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    lows = {r["i"]: r["v"] for r in picked if r["lo"]}
-    highs = {r["i"]: r["v"] for r in picked if r["hi"]}
-    result: dict[str, list] = {c: [] for c in columns}
-    missed: list[str] = []
-    for i, (c, p) in enumerate(wanted):
-        if i not in lows or i not in highs:
+    goals = []
+    for i, (c, j) in enumerate(wanted):
+        position = probs[j] * (sizes[c] - 1)
+        goals += [(i, p - below[i]) for p in {math.floor(position), math.ceil(position)}]
+    goals = df.sparkSession.createDataFrame(goals, "i int, pos long")
+    # At most two rows per wanted quantile.
+    found = {(r["i"], r["pos"]): r["v"] for r in values_at(inside, ["i"], goals, cell_limit).collect()}
+    missed = []
+    for i, (c, j) in enumerate(wanted):
+        position = probs[j] * (sizes[c] - 1)
+        lo, hi = found.get((i, math.floor(position) - below[i])), found.get((i, math.ceil(position) - below[i]))
+        if lo is None or hi is None:
             missed.append(c)
             continue
-        position = targets[i][0]
         share = position - math.floor(position)
-        result[c].append(lows[i] if share == 0 else lows[i] * (1 - share) + highs[i] * share)
-    if missed:  # a bracket missed its target: widen it for these columns
-        redo = list(dict.fromkeys(missed))
-        result.update(_bracketed_quantiles(df, redo, probs, sizes, pad * 5))
+        result.setdefault(c, [None] * len(probs))[j] = lo if share == 0 else lo * (1 - share) + hi * share
+    if missed:  # the sketch missed a bracket: widen it for these columns
+        result.update(_bracketed_quantiles(df, list(dict.fromkeys(missed)), probs, cell_limit, pad * 5))
     return result
 
 
@@ -405,55 +410,22 @@ def group_median(c: Column) -> Column:
     return nan_to_null(middle)
 
 
-def hot_group_medians(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
-    """(key, one column per entry) with exact medians of very large groups.
-
-    Only mergeable state crosses the shuffle: a sketch per (group, column), a
-    count below the bracket, and value counts inside the bracket.
-    """
+def hot_group_medians(df: DataFrame, key: str, columns: Mapping[str, Column], limit: int = CELL_LIMIT) -> DataFrame:
+    """(key, one column per entry) with exact medians of very large groups, NULL where ``group_median`` gives NULL."""
     names = list(columns)
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("name"), columns[n].cast("double").alias("v")) for n in names]
-    )
-    cells_long = df.select(col(key).alias("__k"), F.explode(cells).alias("s")).select(
-        "__k", F.col("s.name").alias("name"), F.col("s.v").alias("v")
-    ).where(F.col("v").isNotNull())
-    # One row per (group, column): as many as there are hot groups times columns.
-    bounds = cells_long.groupBy("__k", "name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY).alias("b"),
-    )
-    joined = cells_long.join(bounds, ["__k", "name"])
-    below = (
-        joined.groupBy("__k", "name")
-        .agg(
-            F.first("n").alias("n"),
-            F.sum(F.when(F.col("v") < F.col("b")[0], 1).otherwise(0)).alias("below"),
-        )
-    )
-    inside = (
-        joined.where((F.col("v") >= F.col("b")[0]) & (F.col("v") <= F.col("b")[1]))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), columns[n].cast("double").alias("v")) for n in names])
+    counts = (
+        df.select(col(key).alias("__k"), F.explode(cells).alias("s"))
+        .select("__k", F.col("s.name").alias("name"), F.col("s.v").alias("v"))
+        .where(F.col("v").isNotNull())
         .groupBy("__k", "name", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    upto = Window.partitionBy("__k", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    low = F.floor((F.col("n") - 1) / 2)
-    high = F.ceil((F.col("n") - 1) / 2)
-    placed = (
-        inside.withColumn("upto", F.sum("c").over(upto))
-        .join(below, ["__k", "name"])
-        .withColumn("upto", F.col("upto") + F.col("below"))
-        .withColumn("from", F.col("upto") - F.col("c"))
-    )
-    medians = placed.groupBy("__k", "name").agg(
-        F.max(F.when((F.col("from") <= low) & (low < F.col("upto")), F.col("v"))).alias("lo"),
-        F.max(F.when((F.col("from") <= high) & (high < F.col("upto")), F.col("v"))).alias("hi"),
-    ).withColumn(
-        "m",
-        F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).otherwise(
-            F.raise_error(F.lit("median outside its sketch bracket")).cast("double")
-        ),
-    )
+    counts = materialize(counts, "group-values")
+    sizes = counts.groupBy("__k", "name").agg(F.sum("c").alias("n"))
+    middle = (F.col("n") - 1) / 2
+    goals = sizes.select("__k", "name", F.explode(F.array_distinct(F.array(F.floor(middle), F.ceil(middle)))).alias("pos"))
+    medians = values_at(counts, ["__k", "name"], goals, limit).groupBy("__k", "name").agg(nan_to_null(F.avg("v")).alias("m"))
     return medians.groupBy(F.col("__k").alias(key)).agg(
         *[F.max(F.when(F.col("name") == n, F.col("m"))).alias(n) for n in names]
     )

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import bool_to_int, col
-from riskframe.operators.ranks import bucket_count, ranked_cells, running_counts, to_long
+from riskframe.operators.ranks import ranked_cells, running_counts, to_long, with_buckets
 
 LOG_EPSILON = 1e-6
 FOREST_TREES = 50
-FOREST_DEPTH = 12
+FOREST_DEPTH = 30  # the deepest that the forest allows
 
 
 # --------------------------------------------------------------------------
@@ -35,9 +35,9 @@ def spearman_target(df: DataFrame, target: str, features: Sequence[str], buckets
     is joined back to the rows.
     """
     y = "__y"
-    buckets = bucket_count(df) if buckets is None else buckets
     cells = to_long(df.where(col(target).isNotNull()), features, [target]).withColumn(y, col(target).cast("double"))
     joint = cells.groupBy("feature", "value", y).agg(F.count(F.lit(1)).alias("n"))
+    joint, buckets = with_buckets(joint, buckets)
     y_counts = joint.groupBy("feature", y).agg(F.sum("n").alias("yn"))
     y_rank = running_counts(y_counts, ["feature"], y, ["yn"], buckets).select(
         "feature", y, (F.col("yn_below") + (F.col("yn") + 1) / 2).alias("ry")

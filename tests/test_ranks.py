@@ -82,11 +82,34 @@ def test_aggregate_hot_and_light_groups(skewed, hot_rows):
             assert np.allclose(left, right, equal_nan=True), (prefix, how)
 
 
-@pytest.mark.parametrize("hot_rows,buckets", [(10, 6), (10**9, 1)])
-def test_ranked_cells_with_frequent_values(skewed, hot_rows, buckets):
-    got = ranks.ranked_cells(skewed, "id", ["v"], buckets, hot_rows).toPandas().set_index("id")
+@pytest.mark.parametrize("buckets", [6, 1, None])
+def test_ranked_cells_with_frequent_values(skewed, buckets):
+    got = ranks.ranked_cells(skewed, "id", ["v"], buckets).toPandas().set_index("id")
     pdf = skewed.toPandas().dropna().set_index("id")
     want = pdf["v"].rank(method="average")
     mine = got["n_below"] + (got["n"] + 1) / 2
     assert len(mine) == len(want)
     assert np.allclose(mine.sort_index().astype(float), want.sort_index())
+
+
+@pytest.mark.parametrize("hows", [["median"], ["median", "nunique"], ["mean", "median"]])
+def test_large_groups_as_small_ones(skewed, hows):
+    """Median-only specs and NaN values give the same rows on both ways."""
+    df = skewed.withColumn("w", F.when(F.col("k") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("v")))
+    spec = {"v": hows, "w": hows}
+    a = aggregate(df, "k", spec, "P_", hot_rows=1).toPandas().set_index("k").sort_index()
+    b = aggregate(df, "k", spec, "P_").toPandas().set_index("k").sort_index()
+    assert list(a.columns) == list(b.columns)
+    assert (a.isna() == b.isna()).all().all()
+    assert np.allclose(a.astype(float), b.astype(float), equal_nan=True)
+
+
+@pytest.mark.parametrize("limit", [5, 60, 10**9])
+def test_values_at_by_narrowing(skewed, limit):
+    pdf = skewed.toPandas().dropna()
+    counts = skewed.where("v is not null").withColumn("g", F.col("k") % 3).groupBy("g", "v").agg(F.count("*").alias("c"))
+    lists = {g: sorted(part["v"]) for g, part in pdf.groupby(pdf["k"] % 3)}
+    goals = [(int(g), p) for g, values in lists.items() for p in {0, len(values) // 3, len(values) // 2, len(values) - 1}]
+    wanted = skewed.sparkSession.createDataFrame(goals, "g long, pos long")
+    got = {(r["g"], r["pos"]): r["v"] for r in ranks.values_at(counts, ["g"], wanted, limit).collect()}
+    assert got == {(g, p): lists[g][p] for g, p in goals}
