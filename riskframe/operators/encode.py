@@ -1,8 +1,9 @@
 """Category encoders: first-appearance codes and one-hot columns.
 
-Fitting returns a small schema decision (the categories); applying it is a
-projection. A column with more than ``MAX_CATEGORIES`` distinct values is
-refused, since it cannot become that many output columns.
+Fitting one-hot columns returns a small schema decision (the categories); applying
+it is a projection. There, a column with more than ``MAX_CATEGORIES`` distinct
+values is refused, since it cannot become that many output columns. Codes have
+no such limit.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col, string_columns
+from riskframe.session import materialize
 
 MAX_CATEGORIES = 5_000
 
@@ -68,30 +70,35 @@ def one_hot(
     return df.select(*rest, *[e.alias(n) for n, e in dummy_columns(cats, null_category).items()])
 
 
-def factorize(
-    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit: int = MAX_CATEGORIES
-) -> DataFrame:
-    """Replace each column by its code: 0.. by first appearance in ``order_by``, missing -1."""
+def factorize(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """Replace each column by its code: 0.. by first appearance in ``order_by``, missing -1.
+
+    The categories are dealt into stored ranges by first appearance and numbered
+    inside each range, so neither one task nor a broadcast grows with their number.
+    """
     for name in columns:
-        # One row per category; limit + 1 proves the bound before it is broadcast.
         firsts = (
             df.where(col(name).isNotNull())
             .groupBy(col(name).alias("__value"))
             .agg(F.min(F.struct(*[col(o) for o in order_by])).alias("__first"))
-            .orderBy("__first")
-            .limit(limit + 1)
         )
-        codes = firsts.select(
-            "__value", (F.row_number().over(Window.orderBy("__first")) - 1).cast("int").alias("__code")
-        ).withColumn(
-            "__code",
-            F.when(F.col("__code") < limit, F.col("__code")).otherwise(
-                F.raise_error(F.lit(f"column {name!r} has more than {limit} categories")).cast("int")
-            ),
+        ranged = materialize(
+            firsts.repartitionByRange("__first").withColumn("__part", F.spark_partition_id()), "categories"
+        )
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        # One row per range.
+        offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select(
+            "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")
+        )
+        inside = F.row_number().over(Window.partitionBy("__part").orderBy("__first")) - 1
+        codes = ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__part").select(
+            "__value", (F.col("__inside") + F.col("__offset")).cast("int").alias("__code")
         )
+        # Stored, so that adaptive execution chooses the join from the real size and can split a frequent value.
+        codes = materialize(codes, "codes")
         position = df.columns
         df = (
-            df.join(F.broadcast(codes), col(name) == F.col("__value"), "left")
+            df.join(codes, col(name) == F.col("__value"), "left")
             .withColumn(name, F.coalesce(F.col("__code"), F.lit(-1)))
             .select(*[col(c) for c in position])
         )

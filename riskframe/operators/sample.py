@@ -32,6 +32,14 @@ def class_sizes(df: DataFrame, target: str, limit: int = MAX_LABELS) -> dict:
     return {r[0]: r["n"] for r in rows}
 
 
+def labelled_sizes(df: DataFrame, target: str) -> dict:
+    """Class sizes of a frame whose rows all have a label; rows without one belong to no class and are refused."""
+    sizes = class_sizes(df, target)
+    if not df.where(col(target).isNull()).isEmpty():
+        raise ValueError(f"rows without a value in {target!r} can't be dealt by class; leave them out first")
+    return sizes
+
+
 def _per_class(values: dict, target: str):
     """The class's entry as a column."""
     pairs = [F.lit(x) for item in values.items() for x in item]
@@ -42,7 +50,7 @@ def assign_split(
     df: DataFrame, key: str, target: str, test_share: float = 0.2, seed: int = 42, out: str = "is_test"
 ) -> DataFrame:
     """Add 1 for test rows and 0 for train rows, in class proportion."""
-    cuts = {c: math.floor(test_share * n + 0.5) for c, n in class_sizes(df, target).items()}
+    cuts = {c: math.floor(test_share * n + 0.5) for c, n in labelled_sizes(df, target).items()}
     ranked = hash_rank(df, [key], [target], seed, RANK)
     return ranked.withColumn(out, (F.col(RANK) <= _per_class(cuts, target)).cast("int")).drop(RANK)
 
@@ -59,7 +67,7 @@ def stratified_split(
 
 def stratified_sample(df: DataFrame, key: str, target: str, n: int = 500, seed: int = 42) -> DataFrame:
     """``n`` rows (all rows when there are fewer) in class proportion by largest remainder."""
-    sizes = class_sizes(df, target)
+    sizes = labelled_sizes(df, target)
     total = sum(sizes.values())
     wanted = min(n, total)
     ideal = {c: size * wanted / total for c, size in sizes.items()} if total else {}
@@ -75,6 +83,7 @@ def stratified_folds(
     df: DataFrame, key: str, target: str, k: int = 3, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
     """Add a fold number 0..k-1 dealt in turn within each class."""
+    labelled_sizes(df, target)
     return hash_rank(df, [key], [target], seed, RANK).withColumn(
         out, ((F.col(RANK) - 1) % k).cast("int")
     ).drop(RANK)

@@ -9,26 +9,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import col, digest, status_text, to_double, unit_interval
-from riskframe.operators.models import SCORE, feature_list, with_probability
+from riskframe.operators.models import SCORE, LinearModel, feature_list, with_probability
+
+Model = PipelineModel | LinearModel
 
 
 def missing_features(features: Column, required: Sequence[str]) -> Column:
     return F.array_except(F.array(*[F.lit(r) for r in required]), F.map_keys(features))
 
 
+def parse_value(text: Column) -> Column:
+    """A payload value as a double: numbers and truth values; NULL for all else, NaN included."""
+    truth = F.when(F.lower(text) == "true", 1.0).when(F.lower(text) == "false", 0.0)
+    return F.coalesce(to_double(text), truth)
+
+
 def validate(df: DataFrame, required: Sequence[str], payload: str = "features") -> DataFrame:
-    """Add ``missing`` (sorted names) and ``is_valid``; extra features are ignored."""
+    """Add ``missing`` and ``invalid`` (sorted names without a value, with one that is no number) and ``is_valid``.
+
+    Features that the model does not ask for are ignored.
+    """
     missing = F.when(col(payload).isNull(), F.array(*[F.lit(r) for r in required])).otherwise(
         missing_features(col(payload), required)
     )
-    return df.withColumn("missing", F.sort_array(missing)).withColumn(
-        "is_valid", (F.size("missing") == 0).cast("int")
+    named = [
+        F.when(
+            F.map_contains_key(col(payload), F.lit(r)) & parse_value(F.try_element_at(col(payload), F.lit(r))).isNull(), r
+        )
+        for r in sorted(required)
+    ]
+    return df.withColumns({"missing": F.sort_array(missing), "invalid": F.array_compact(F.array(*named))}).withColumn(
+        "is_valid", ((F.size("missing") == 0) & (F.size("invalid") == 0)).cast("int")
     )
 
 
-def expand_payload(df: DataFrame, required: Sequence[str], payload: str = "features", default: float | None = 0.0) -> DataFrame:
-    """One double column per required feature; unparsable or absent values become ``default``."""
-    values = {r: to_double(F.try_element_at(col(payload), F.lit(r)), default) for r in required}
+def rejection(checked: DataFrame) -> DataFrame:
+    """(client_id, error) of the requests that ``validate`` finds invalid."""
+    parts = [
+        F.when(F.size(name) > 0, F.concat(F.lit(f"{label}: "), F.array_join(name, ", ")))
+        for name, label in (("missing", "no value for"), ("invalid", "not a number in"))
+    ]
+    return checked.where(F.col("is_valid") == 0).select("client_id", F.concat_ws("; ", *parts).alias("error"))
+
+
+def expand_payload(df: DataFrame, required: Sequence[str], payload: str = "features", default: float | None = None) -> DataFrame:
+    """One double column per required feature; unparsable or absent values become ``default``.
+
+    Forms fill in 0.0; requests are validated first, so that nothing is left to fill.
+    """
+    parsed = {r: parse_value(F.try_element_at(col(payload), F.lit(r))) for r in required}
+    values = parsed if default is None else {r: F.coalesce(v, F.lit(float(default))) for r, v in parsed.items()}
     rest = [col(c) for c in df.columns if c != payload]
     return df.select(*rest, *[e.alias(n) for n, e in values.items()])
 
@@ -43,20 +73,16 @@ def respond(scored: DataFrame, client: str, threshold: float) -> DataFrame:
     )
 
 
-def score_batch(model: PipelineModel, df: DataFrame, client: str, threshold: float) -> DataFrame:
+def score_batch(model: Model, df: DataFrame, client: str, threshold: float) -> DataFrame:
     return respond(with_probability(model, df), client, threshold)
 
 
-def score_requests(model: PipelineModel, requests: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def score_requests(model: Model, requests: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Split requests (client_id, features map) into scored responses and rejections."""
     required = feature_list(model)
     checked = validate(requests, required)
-    valid = expand_payload(checked.where(F.col("is_valid") == 1).drop("missing", "is_valid"), required)
-    rejected = checked.where(F.col("is_valid") == 0).select(
-        "client_id",
-        F.concat(F.lit("Missing required features: "), F.array_join("missing", ", ")).alias("error"),
-    )
-    return score_batch(model, valid, "client_id", threshold), rejected
+    valid = expand_payload(checked.where(F.col("is_valid") == 1).drop("missing", "invalid", "is_valid"), required)
+    return score_batch(model, valid, "client_id", threshold), rejection(checked)
 
 
 def with_status(responses: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from riskframe.plans.models_catalog import split
 from riskframe.plans.registry import near_sql, register, tidy
 from riskframe.plans.stats_catalog import MODEL_FEATURES, loans, model_frame
 from riskframe.session import scratch_path
-from riskframe.streaming.score import read_responses, score_stream
+from riskframe.streaming.score import read_rejections, read_responses, rejected_stream, score_stream
 
 NUMERIC = ["amount", "age", "grade", "score"]
 CATEGORICAL = ["priority", "status"]
@@ -210,50 +210,83 @@ def shap_dependence_data(spark, sf_dir):
 REQUIRED = ["age", "amount_noise", "grade", "score"]
 
 
+#: A fixed linear model, so that the answers can be stated in SQL.
+SCORER = models.LinearModel(tuple(REQUIRED), (0.001, -0.004, 0.3, 1.5), -2.0)
+
+
 def requests(spark, sf_dir):
-    """Requests as maps; every seventh lacks a feature, every fifth has an extra one."""
+    """Requests as maps: every seventh lacks a feature, every eleventh has text in one, every 13th is empty, every fifth has one too many."""
     df = model_frame(spark, sf_dir)
-    entries = [
-        F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in ["age", "amount_noise", "grade"]
-    ]
-    last = F.struct(F.lit("score").alias("key"), F.col("score").cast("string").alias("value"))
-    extra = F.struct(F.lit("extra").alias("key"), F.lit("1").alias("value"))
+    nothing = F.array().cast("array<struct<key:string,value:string>>")
+
+    def entry(name, value):
+        return F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
+
+    every = lambda n: F.col("loan_id") % n == 0
     listed = F.concat(
-        F.array(*entries),
-        F.when(F.col("loan_id") % 7 != 0, F.array(last)).otherwise(F.array().cast("array<struct<key:string,value:string>>")),
-        F.when(F.col("loan_id") % 5 == 0, F.array(extra)).otherwise(F.array().cast("array<struct<key:string,value:string>>")),
+        F.array(
+            entry("age", F.col("age")),
+            entry("amount_noise", F.col("amount_noise")),
+            entry("grade", F.when(every(11), "n/a").otherwise(F.col("grade").cast("string"))),
+        ),
+        F.when(every(7), nothing).otherwise(F.array(entry("score", F.col("score")))),
+        F.when(every(5), F.array(entry("extra", F.lit("1")))).otherwise(nothing),
     )
+    listed = F.when(every(13), nothing).otherwise(listed)
     return df.select(F.col("loan_id").cast("string").alias("client_id"), F.map_from_entries(listed).alias("features"))
 
 
+CHECKED_SQL = """
+SELECT *, CASE WHEN loan_id % 13 = 0 THEN 'age, amount_noise, grade, score' WHEN loan_id % 7 = 0 THEN 'score' ELSE '' END AS missing,
+  CASE WHEN loan_id % 13 <> 0 AND loan_id % 11 = 0 THEN 'grade' ELSE '' END AS invalid
+FROM loans"""
+
+ANSWERS_SQL = f"""
+SELECT CAST(loan_id AS VARCHAR) AS client_id, CASE WHEN ok THEN {near_sql('p')} END AS probability,
+  CASE WHEN ok THEN CAST(p >= 0.13 AS INTEGER) END AS prediction, CASE WHEN ok THEN 0.13::DOUBLE END AS threshold,
+  CASE WHEN ok THEN '' ELSE concat_ws('; ', CASE WHEN missing <> '' THEN 'no value for: ' || missing END,
+    CASE WHEN invalid <> '' THEN 'not a number in: ' || invalid END) END AS error
+FROM (SELECT *, missing = '' AND invalid = '' AS ok,
+        1.0::DOUBLE / (1.0::DOUBLE + exp(-(-2.0::DOUBLE + 0.001::DOUBLE * age - 0.004::DOUBLE * ((loan_id * 7919) % 997 + y * 150.0::DOUBLE) + 0.3::DOUBLE * grade + 1.5::DOUBLE * score))) AS p
+      FROM checked)"""
+
+
 @register(
     "validate_payload",
-    "SELECT CAST(loan_id AS VARCHAR) AS client_id, CAST(loan_id % 7 <> 0 AS INTEGER) AS is_valid, "
-    "CASE WHEN loan_id % 7 = 0 THEN 'score' ELSE '' END AS missing FROM loans",
+    "SELECT CAST(loan_id AS VARCHAR) AS client_id, CAST(missing = '' AND invalid = '' AS INTEGER) AS is_valid, missing, invalid FROM checked",
     ["loans"],
+    {"checked": CHECKED_SQL},
 )
 def validate_payload(spark, sf_dir):
     checked = score.validate(requests(spark, sf_dir), REQUIRED)
-    return checked.select("client_id", "is_valid", F.array_join("missing", ", ").alias("missing"))
+    return checked.select(
+        "client_id", "is_valid", F.array_join("missing", ", ").alias("missing"), F.array_join("invalid", ", ").alias("invalid")
+    )
+
+
+def _all_answers(answered, rejected):
+    """Responses and rejections in one table."""
+    return tidy(
+        answered.withColumn("error", F.lit(""))
+        .unionByName(rejected, allowMissingColumns=True)
+        .select("client_id", "probability", "prediction", "threshold", "error"),
+        exact=["threshold"],
+    )
 
 
-@register("score_batch")
+@register("score_batch", ANSWERS_SQL, ["loans"], {"checked": CHECKED_SQL})
 def score_batch(spark, sf_dir):
-    train, test = split(spark, sf_dir)
-    model = models.train(train, REQUIRED, "y", "logreg")
-    answered, _ = score.score_requests(model, requests(spark, sf_dir), 0.13)
-    return score.with_status(answered)
+    return _all_answers(*score.score_requests(SCORER, requests(spark, sf_dir), 0.13))
 
 
-@register("score_stream")
+@register("score_stream", ANSWERS_SQL, ["loans"], {"checked": CHECKED_SQL})
 def score_stream_query(spark, sf_dir):
-    """Requests written as JSON files, scored by a stream, answers read back."""
-    train, test = split(spark, sf_dir)
-    model = models.train(train, REQUIRED, "y", "logreg")
-    in_dir, out_dir = scratch_path(spark, "requests"), scratch_path(spark, "responses")
+    """Requests written as JSON files, scored by streams; answers and rejections read back."""
+    in_dir, out_dir, bad_dir = (scratch_path(spark, n) for n in ("requests", "responses", "rejections"))
     requests(spark, sf_dir).write.json(in_dir)
-    score_stream(spark, model, in_dir, out_dir, 0.13)
-    return read_responses(spark, out_dir)
+    score_stream(spark, SCORER, in_dir, out_dir, 0.13)
+    rejected_stream(spark, REQUIRED, in_dir, bad_dir)
+    return _all_answers(read_responses(spark, out_dir), read_rejections(spark, bad_dir))
 
 
 # --------------------------------------------------------------------------

@@ -420,7 +420,7 @@ SELECT loan_id, coalesce(CASE WHEN raw <> 'nan' THEN TRY_CAST(raw AS DOUBLE) END
 )
 def coerce_payload(spark, sf_dir):
     payload = raw_text(spark, sf_dir).select("loan_id", F.create_map(F.lit("raw"), F.col("raw")).alias("features"))
-    return score.expand_payload(payload, ["raw", "absent"])
+    return score.expand_payload(payload, ["raw", "absent"], default=0.0)
 
 
 @register(

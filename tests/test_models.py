@@ -156,10 +156,17 @@ def test_payload_cases(spark):
     rows = [("ok", {"a": "1", "b": "2.5"}), ("missing", {"a": "1"}), ("text", {"a": "x", "b": "2"}), ("empty", {}), ("extra", {"a": "1", "b": "2", "z": "9"})]
     df = spark.createDataFrame(rows, "client_id string, features map<string,string>")
     got = {r["client_id"]: r for r in score.validate(df, ["a", "b"]).collect()}
-    assert {k: r["is_valid"] for k, r in got.items()} == {"ok": 1, "missing": 0, "text": 1, "empty": 0, "extra": 1}
-    assert got["empty"]["missing"] == ["a", "b"]
-    values = {r["client_id"]: (r["a"], r["b"]) for r in score.expand_payload(df, ["a", "b"]).collect()}
+    assert {k: r["is_valid"] for k, r in got.items()} == {"ok": 1, "missing": 0, "text": 0, "empty": 0, "extra": 1}
+    assert got["empty"]["missing"] == ["a", "b"] and got["text"]["invalid"] == ["a"]
+    values = {r["client_id"]: (r["a"], r["b"]) for r in score.expand_payload(df, ["a", "b"], default=0.0).collect()}
     assert values["text"] == (0.0, 2.0) and values["missing"] == (1.0, 0.0)
+    more = [("nan", {"a": "NaN", "b": "1"}), ("null", {"a": None, "b": "x"}), ("truth", {"a": "true", "b": "-1e3"}), ("none", None)]
+    checked = score.validate(spark.createDataFrame(more, df.schema), ["b", "a"])
+    assert {r["client_id"]: (r["is_valid"], r["invalid"]) for r in checked.collect()} == {
+        "nan": (0, ["a"]), "null": (0, ["a", "b"]), "truth": (1, []), "none": (0, [])
+    }
+    errors = {r["client_id"]: r["error"] for r in score.rejection(checked).collect()}
+    assert errors == {"nan": "not a number in: a", "null": "not a number in: a, b", "none": "no value for: a, b"}
 
 
 def test_stream_equals_batch(spark, loans, tmp_path):
@@ -178,7 +185,7 @@ def test_stream_equals_batch(spark, loans, tmp_path):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     rejected_stream(spark, MODEL_FEATURES, folder, str(tmp_path / "bad"))
     errors = spark.read.parquet(str(tmp_path / "bad"))
-    assert {r["error"] for r in errors.collect()} == {"Missing required features: age"}
+    assert {r["error"] for r in errors.collect()} == {"no value for: age"}
 
 
 def test_algorithm_grid_and_compare(spark, loans):

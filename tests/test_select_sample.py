@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import sample, select
+from riskframe.operators import encode, sample, select
 from riskframe.operators.neighbors import nearest_neighbors
 
 
@@ -153,3 +153,27 @@ def test_smote_and_hybrid(frame):
     assert sample.rebalance(df, "id", "y", ["a"], "oversample", 0.01) is None
     with pytest.raises(ValueError):
         sample.rebalance(df, "id", "y", ["a"], "magic", 0.3)
+
+
+def test_rows_without_a_label_are_refused(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "id long, y int")
+    for deal in (
+        lambda: sample.stratified_split(df, "id", "y"),
+        lambda: sample.stratified_sample(df, "id", "y", 10),
+        lambda: sample.stratified_folds(df, "id", "y"),
+    ):
+        with pytest.raises(ValueError, match="without a value"):
+            deal()
+    train, test = sample.stratified_split(df.where("y is not null"), "id", "y")
+    assert train.count() + test.count() == 30
+
+
+def test_codes_of_many_categories(spark):
+    n = 6_000  # more than one-hot columns allow
+    df = spark.range(2 * n).select("id", F.concat(F.lit("c"), (F.col("id") * 7919) % n).alias("v"))
+    df = df.withColumn("v", F.when(F.col("id") != 5, F.col("v")))
+    seen, want = {}, {}
+    for r in df.orderBy("id").collect():
+        want[r["id"]] = -1 if r["v"] is None else seen.setdefault(r["v"], len(seen))
+    got = {r["id"]: r["v"] for r in encode.factorize(df, ["v"], ["id"]).collect()}
+    assert got == want
