@@ -14,8 +14,8 @@ So a line is deleted exactly if it lies in a run of equal lines with at least
 ``min_words`` words that also begins earlier, in this or another document.
 No pairs of places are made: each one meets only the first of its kind.
 
-Defined cases: null, empty and blank texts stay as they are; blank lines go only
-inside a deleted run; a run that overlaps its own repetition keeps one period;
+Defined cases: null, empty and blank texts stay as they are; blank lines
+go only where the lines with words before and after them both go; a run that overlaps its own repetition keeps one period;
 rows with equal id and text are one document and lose the same lines; documents
 without an id come last in order; an empty table gives an empty result; other
 columns are carried along.
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.store import keep
+
 #: Shortest repeated run, in words.
 MIN_WORDS = 50
 
@@ -50,6 +52,8 @@ def _windows(lines: Column, min_words: int, backward: bool) -> Column:
         part = F.reverse(part) if backward else part
         anchor = F.array_min(F.transform(part, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
         return F.struct(
+            F.element_at(part, 1)["n"].alias("first_n"),
+            F.element_at(part, -1)["n"].alias("last_n"),
             F.element_at(part, 1)["pos"].alias("first"),
             F.element_at(part, -1)["pos"].alias("last"),
             anchor["hash"].alias("anchor"),
@@ -62,17 +66,23 @@ def _windows(lines: Column, min_words: int, backward: bool) -> Column:
 
 
 def _merged(ranges: Column) -> Column:
-    """Sorted ranges, with overlapping and adjacent ones joined."""
+    """Sorted ranges, with overlapping ones and those with no line with words between them joined."""
 
     def add(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        wider = F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"))
+        wider = F.struct(
+            last["first_n"].alias("first_n"),
+            F.greatest(last["last_n"], r["last_n"]).alias("last_n"),
+            last["first"].alias("first"),
+            F.greatest(last["last"], r["last"]).alias("last"),
+        )
         return F.when(
-            (F.size(acc) > 0) & (r["first"] <= last["last"] + 1),
+            (F.size(acc) > 0) & (r["first_n"] <= last["last_n"] + 1),
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider)),
         ).otherwise(F.concat(acc, F.array(r)))
 
-    return F.aggregate(ranges, F.array().cast(RUNS), add)
+    merged = F.aggregate(ranges, F.array().cast("array<struct<first_n:int,last_n:int,first:int,last:int>>"), add)
+    return F.transform(merged, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,7 +103,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     lines = source.select(
         "doc_id",
         F.xxhash64("doc_id", "text").alias("version"),
-        F.filter(hashed, lambda x: x["words"] > 0).alias("lines"),
+        F.transform(
+            F.filter(hashed, lambda x: x["words"] > 0), lambda x, n: x.withField("n", n)
+        ).alias("lines"),
     )
     both = lines.select(
         "doc_id",
@@ -105,6 +117,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     windows = both.select(
         "doc_id", "version", F.explode(F.array_distinct(F.concat("onward", "back"))).alias("w")
     ).select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version").alias("doc"), "w.*")
+    # Stored once for the three uses below. What is joined back to the rows it
+    # sums up is stored, too: a join over two plain shuffles can split a hot key.
+    windows = keep(windows, "windows")
 
     place = F.struct("doc", "anchor_pos")
     repeated = (
@@ -113,11 +128,11 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         .where("low <> high")
         .select("anchor")
     )
-    candidates = windows.join(repeated, "anchor")
+    candidates = keep(windows.join(keep(repeated, "repeated"), "anchor").drop("anchor", "anchor_pos"), "candidates")
     start = F.struct("doc", "first")
     earliest = candidates.groupBy("w1", "w2").agg(F.min(start).alias("start"), F.max(start).alias("end")).where("start <> end")
-    later = candidates.join(earliest.drop("end"), ["w1", "w2"]).where(start > F.col("start"))
-    ranges = later.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    later = candidates.join(keep(earliest.drop("end"), "earliest"), ["w1", "w2"]).where(start > F.col("start"))
+    ranges = later.groupBy("doc").agg(F.collect_set(F.struct("first_n", "last_n", "first", "last")).alias("ranges"))
     return ranges.select("doc.doc_id", "doc.version", _merged(F.sort_array("ranges")).alias("runs"))
 
 

@@ -167,9 +167,12 @@ pairs AS (
   SELECT b.doc_id, b.pos, b.n, b.words, a.doc_id AS other, a.n - b.n AS shift
   FROM lines a JOIN lines b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.n < b.n)),
 chains AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY n) AS chain FROM pairs),
-runs AS (
-  SELECT doc_id, min(pos) AS first, max(pos) AS last FROM chains
+hits AS (
+  SELECT doc_id, min(n) AS first, max(n) AS last FROM chains
   GROUP BY doc_id, other, shift, chain HAVING sum(words) >= 50),
+hit_lines AS (SELECT DISTINCT l.doc_id, l.n, l.pos FROM lines l JOIN (SELECT DISTINCT * FROM hits) h ON l.doc_id = h.doc_id AND l.n BETWEEN h.first AND h.last),
+islands AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM hit_lines),
+runs AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM islands GROUP BY doc_id, island),
 gone AS (SELECT DISTINCT s.doc_id, s.pos FROM counted s JOIN (SELECT DISTINCT * FROM runs) r ON s.doc_id = r.doc_id AND s.pos BETWEEN r.first AND r.last),
 kept AS (
   SELECT c.doc_id, count(*) AS n_lines, count(g.pos) AS deleted_lines,
