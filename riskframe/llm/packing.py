@@ -18,7 +18,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import functools
-import os
+import json
 import re
 import zlib
 from collections import Counter
@@ -40,56 +40,83 @@ RANK_ROWS = 20_000
 
 # Words with the space before them, and runs of white space, as byte-level BPE
 # cuts them first; each is then encoded on its own.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = set("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
-class _Chunks(dict):
-    """Little-endian 32-bit ids of the chunks this worker has seen; emptied when full."""
+# Fixed value: how byte-level BPE of this family cuts a text before merging.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    LIMIT, LONGEST = 300_000, 100
 
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[str, int]:
+    """The visible letters that stand for bytes in the vocabulary file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
-        self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[chunk] = ids
-        return ids
+class Tokenizer:
+    """Byte-level BPE of a ``tokenizers`` vocabulary file; remembers the chunks that a worker has met."""
 
+    LIMIT, LONGEST = 800_000, 100
 
-@functools.cache
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = _byte_letters()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocabulary = spec["model"]["vocab"].items()
+        # Ids follow the order of the merges, so they are the merges' ranks.
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary if piece not in special}
+        self.encoding = tiktoken.Encoding("documents", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = special[SPECIAL].to_bytes(4, "little")
+        self.line = ranks[b"\n"]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, wanted: set[str]) -> None:
+        new = wanted - self.known.keys()
+        if new and len(self.known) + len(new) > self.LIMIT:
+            self.known.clear()
+            new = wanted
+        words = [c for c in new if c[-1] not in _SPACES]
+        # Chunks cut the same with a line break in front, whose id no word contains.
+        ids = np.array(self.encoding.encode_ordinary("\n" + "\n".join(words)), "<u4")
+        data = ids.tobytes()
+        ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), len(data)]
+        for word, a, b in zip(words, ends, ends[1:]):
+            self.known[word] = data[a + 4 : b]
+        for space in new.difference(words):
+            self.known[space] = np.array(self.encoding.encode_ordinary(space), "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts and the closing id, four bytes each."""
+        cut = [[_CHUNK.findall(part) for part in (t or "").split(SPECIAL)] for t in texts]
+        wanted = set().union(*[part for parts in cut for part in parts])
+        self._learn(wanted)
+        get = self.known.__getitem__
+        end = END_ID.to_bytes(4, "little")
+        out = [self.special.join([b"".join(map(get, part)) for part in parts]) + end for parts in cut]
+        for long in [c for c in wanted if len(c) > self.LONGEST]:
+            del self.known[long]
+        return out
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a whole text and the closing id, four bytes each."""
-    known = _chunks(path)
-    parts = []
-    for k, part in enumerate((text or "").split(SPECIAL)):
-        if k:
-            parts.append(known[SPECIAL])
-        parts += map(known.__getitem__, _CHUNK.findall(part))
-    parts.append(END_ID.to_bytes(4, "little"))
-    return b"".join(parts)
+@functools.cache
+def load_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
 
 
 def _pieces(path: str, longest: int, with_ids: bool):
     width = 4 * longest
 
     def run(batches):
+        tokenizer = load_tokenizer(path)
         for batch in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
-            for r, text in enumerate(batch.column(1)):
-                data = token_bytes(text.as_py(), path)
+            for r, data in enumerate(tokenizer.encode_batch(batch.column(1).to_pylist())):
                 for at in range(0, len(data), width):
                     part = data[at : at + width]
                     rows.append(r)

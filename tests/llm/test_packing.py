@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -22,9 +23,21 @@ ODD = [
 
 def test_ids_as_the_library():
     tokenizer = Tokenizer.from_file(PATH)
-    for text in ODD:
-        got = np.frombuffer(packing.token_bytes(text, PATH), "<u4")
-        assert got.tolist() == ids_of(tokenizer, text).tolist(), repr(text[:50])
+    rng = random.Random(9)
+    alphabets = ["ab ", "a \n\t", " .,'s tdm", "0123 9a", "é\u0301ß中\U0001f642 x", "\u2003\u200b\xa0 \x1c\x85a", "<|endoftext|> "]
+    texts = ODD + ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in alphabets for _ in range(200)]
+    for batch in (texts, texts[::-1]):
+        for text, data in zip(batch, packing.load_tokenizer(PATH).encode_batch(batch)):
+            assert np.frombuffer(data, "<u4").tolist() == ids_of(tokenizer, text).tolist(), repr(text[:50])
+
+
+def test_a_full_memory_is_emptied(monkeypatch):
+    monkeypatch.setattr(packing.Tokenizer, "LIMIT", 5)
+    monkeypatch.setattr(packing.Tokenizer, "LONGEST", 4)
+    own, tokenizer = packing.Tokenizer(PATH), Tokenizer.from_file(PATH)
+    for batch in (["a b c d"], ["a b longer words", "c"], ["x y z u v w a b"], ["longer a\n\nb"]):
+        for text, data in zip(batch, own.encode_batch(batch)):
+            assert np.frombuffer(data, "<u4").tolist() == ids_of(tokenizer, text).tolist()
 
 
 def check_packed(rows, docs):
