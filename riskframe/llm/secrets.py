@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.store import keep
 
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.=\-]{14,}[A-Za-z0-9=]"
+CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9]={0,2}"
 #: Characters of context on each side, up to the next candidate.
 CONTEXT = 40
 #: Documents that must use a word for it to count as one.
