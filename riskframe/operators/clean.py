@@ -79,7 +79,7 @@ def fill_values(df: DataFrame, columns: Sequence[str], how: str, cell_limit: int
         return result
     if how == "zero":
         return {c: 0.0 for c in columns}
-    raise ValueError(f"Unknown impute method: {how}")
+    raise ValueError(f"no such way to fill in values: {how!r}")
 
 
 def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:

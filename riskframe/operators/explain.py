@@ -119,6 +119,12 @@ def shapley(x: np.ndarray, leaves: dict[str, np.ndarray], n_features: int) -> np
     points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
     result = np.zeros((len(x), classes, n_features))
+    # Contributions add up over the leaves, so a large model goes in parts, too.
+    part = max(1, CELLS_PER_STEP // depth)
+    if n_leaves > part:
+        for first in range(0, n_leaves, part):
+            result += shapley(x, {k: v[first : first + part] for k, v in leaves.items()}, n_features)
+        return result
     step = max(1, CELLS_PER_STEP // (n_leaves * depth))
     share = leaves["share"][None, :, :]
     flat_feature = leaves["feature"].ravel()

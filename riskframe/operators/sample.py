@@ -255,4 +255,4 @@ def rebalance(
         if share <= initial:
             return None
         return hybrid_balance(df, key, target, features, share, seed=seed, sizes=sizes, near=near)
-    raise ValueError(f"Unknown resampling technique: {technique}")
+    raise ValueError(f"no balancing named {technique!r}")

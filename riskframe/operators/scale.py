@@ -21,7 +21,7 @@ SCALERS = ("standard", "minmax", "robust", "none")
 def fit_scaler(df: DataFrame, columns: Sequence[str], how: str) -> dict[str, tuple[float, float]]:
     """(centre, width) per column; a constant column has width 1, so it becomes 0."""
     if how not in SCALERS:
-        raise ValueError(f"Unknown scaler: {how}")
+        raise ValueError(f"no scaling named {how!r}")
     columns = list(columns)
     fitted: dict[str, tuple[float, float]] = {}
     if how == "none":

@@ -80,7 +80,7 @@ def rank_frame(df: DataFrame, key: str, columns: Sequence[str], buckets: int | N
 
 
 def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> dict[tuple[str, str], float]:
-    """Absolute rank correlation of every pair of columns without missing cells.
+    """Absolute rank correlation of every pair of columns without missing cells; 0 with a constant column.
 
     The result is a columns x columns matrix (a schema decision) on the driver.
     """
@@ -92,34 +92,12 @@ def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> dict[tup
     )
     matrix = Correlation.corr(vectors.select("v"), "v", "pearson").first()[0].toArray()
     return {
-        (a, b): abs(float(matrix[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
+        (a, b): 0.0 if math.isnan(matrix[i][j]) else abs(float(matrix[i][j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
     }
 
 
-def spearman_pairs(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(left, right, spearman) for every pair left < right, as a DataFrame plan."""
-    ranks = rank_frame(df, key, columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    guarded = [
-        F.when(
-            (F.stddev_pop(col(a)) > 0) & (F.stddev_pop(col(b)) > 0),
-            F.abs(F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b)))),
-        ).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    row = ranks.agg(*guarded)
-    return row.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("left_feature"), F.lit(b).alias("right_feature"), F.col(f"p{i}").alias("spearman"))
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
-
-
 # --------------------------------------------------------------------------
 # Importance
 
@@ -216,7 +194,7 @@ def project_required(df: DataFrame, features: Sequence[str], target: str | None
     """The required columns in order, then the target; a missing one is an error."""
     missing = [f for f in features if f not in df.columns]
     if missing:
-        raise ValueError(f"Features missing from input df: {missing}")
+        raise ValueError(f"the frame lacks these features: {missing}")
     return df.select(*[col(f) for f in features], *([col(target)] if target else []))
 
 
@@ -286,26 +264,21 @@ class FeaturePipeline(Estimator, _PipelineParams, DefaultParamsReadable, Default
         dropped = set(correlated_drop(features, matrix, product, self.getOrDefault("corVal")))
         return [f for f in features if f not in dropped]
 
-    @staticmethod
-    def _top(importance: list[dict], n: int) -> list[str]:
-        chosen = set()
-        for metric in ("metric1_spearman", "metric2_mdi"):
-            chosen |= {r["feature"] for r in sorted(importance, key=lambda r: -r[metric])[:n]}
-        return sorted(chosen)
-
     def _fit(self, dataset: DataFrame) -> "FeaturePipelineModel":
         key, target = self.getOrDefault("keyCol"), self.getOrDefault("targetCol")
         if target not in dataset.columns:
-            raise ValueError(f"Target column '{target}' not found")
+            raise ValueError(f"there is no column {target!r} to select features for")
         if dataset.isEmpty():
-            raise ValueError("Input DataFrame is empty")
+            raise ValueError("features can't be selected without rows")
         df = bool_to_int(dataset)
         skip = {key, target, *self.getOrDefault("excludeCols")}
         base = [c for c in df.columns if c not in skip]
         importance = self._importance(df, base)
         n = self.getOrDefault("nSelect")
-        select_list = self._top(importance, n)
-        create_list = self._top(importance, max(2, int(math.sqrt(n))))
+        table = df.sparkSession.createDataFrame(importance) if importance else None
+        select_list, create_list = (
+            [r["feature"] for r in top_n_union(table, k).collect()] if table else [] for k in (n, max(2, int(math.sqrt(n))))
+        )
         selected = self._decorrelate(df, select_list, importance)
 
         created_all = list(derived_columns(create_list))

@@ -45,8 +45,11 @@ PAIRS = {
     PAIRS,
 )
 def spearman_matrix(spark, sf_dir):
-    pairs = select.spearman_pairs(loans(spark, sf_dir), "loan_id", PAIR_FEATURES)
-    # Unrelated columns have a correlation near 0, where only absolute digits mean anything.
+    matrix = select.spearman_matrix(loans(spark, sf_dir), "loan_id", PAIR_FEATURES)
+    # One row per pair of columns. Unrelated columns have a correlation near 0,
+    # where only absolute digits mean anything.
+    rows = [(a, b, matrix[a, b]) for i, a in enumerate(PAIR_FEATURES) for b in PAIR_FEATURES[i + 1 :]]
+    pairs = spark.createDataFrame(rows, "left_feature string, right_feature string, spearman double")
     return pairs.withColumn("spearman", F.round("spearman", 6))
 
 

@@ -153,6 +153,6 @@ def read_processed(spark: SparkSession, folder: str, target: str = features.TARG
     for name in ("train_processed", "test_processed"):
         df = io.read_parquet(spark, f"{folder}/{name}.parquet")
         if target not in df.columns:
-            raise ValueError(f"Target column '{target}' not found in {name}")
+            raise ValueError(f"{name} has no column {target!r}")
         frames.append(df.select(*[col(c) for c in df.columns]))
     return frames[0], frames[1]
