@@ -75,7 +75,7 @@ def _train_query(key: str, algorithm: str, **params):
 
 _train_query("train_logreg", "logreg")
 _train_query("train_random_forest", "random_forest")
-_train_query("train_gbt", "gradient_boosting", maxIter=20, maxDepth=5)
+_train_query("train_gbt", "gradient_boosting")
 
 
 # --------------------------------------------------------------------------

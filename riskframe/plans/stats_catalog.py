@@ -116,7 +116,7 @@ def correlated_drop(spark, sf_dir):
 
 def _pipeline():
     return select.FeaturePipeline(
-        keyCol="loan_id", targetCol="y", nSelect=4, corVal=0.7, numTrees=20, maxDepth=8
+        keyCol="loan_id", targetCol="y", nSelect=4, corVal=0.7
     )
 
 
