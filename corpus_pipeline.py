@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import lines, minhash, packing, quality, secrets
 from riskframe.llm.queries import tokenizer_path
-from riskframe.llm.store import keep
+from riskframe.llm.store import keep, sized
 
 
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    copies = sized(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

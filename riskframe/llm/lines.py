@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.store import keep
+from riskframe.llm.store import keep, sized
 
 #: Shortest repeated run, in words.
 MIN_WORDS = 50
@@ -143,6 +143,7 @@ def delete_repeated_lines(
     found = repeated_runs(docs, doc_id, text, min_words).select(
         F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("runs").alias("__runs")
     )
+    found = sized(found, "runs", F.size("__runs"))
     old = F.col(text).cast("string")
     mark = F.xxhash64(F.col(doc_id), old)
     joined = docs.withColumn("__mark", mark).join(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.components import connected_components
-from riskframe.llm.store import keep, small_batches
+from riskframe.llm.store import keep, sized, small_batches
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -240,7 +240,7 @@ def near_duplicates(
     crowded = keep(heads.where("c > 1").select("key", "head"), "crowded")
     members = keep(keys.join(crowded, "key"), "members")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = sized(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "rep bigint, shingles array<bigint>"), "sets")
 
     pairs = members.where((F.col("rep") != F.col("head.rep")) & _near_in_size(F.col("n"), F.col("head.n"), percent))

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.store import keep
+from riskframe.llm.store import keep, sized
 
 CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9]={0,2}"
 #: Characters of context on each side, up to the next candidate.
@@ -218,6 +218,7 @@ def redact(docs: DataFrame, findings: DataFrame, doc_id: str = "doc_id", text: s
         findings.where("is_secret").groupBy("doc_id", "version").agg(spans.alias("__spans"))
         .select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__spans")
     )
+    found = sized(found, "spans", F.size("__spans"))
     old = F.col(text).cast("string")
     joined = docs.withColumn("__mark", F.xxhash64(F.col(doc_id), old)).join(
         found, (F.col("__mark") == F.col("__version")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left"

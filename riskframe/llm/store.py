@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskframe.session import scratch_path
 
@@ -18,6 +19,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, or array entries, up to which a stored table is broadcast: some 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
+    """The stored table, marked for broadcast if its size allows it; else joins shuffle as usual.
+
+    ``weight`` counts a row's entries where rows hold arrays.
+    """
+    stored = keep(df, name)
+    total = stored.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(stored) if total <= BROADCAST_ROWS else stored
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a table that ``keep`` wrote and nobody reads any more."""
     remove(df.sparkSession, *df.inputFiles()[:1])
