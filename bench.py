@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR and BENCH_CPUS choose the data and the number of cores. Each
-query gets one warm-up run, then the median of BENCH_RUNS (1) timed runs.
+query gets one warm-up run, then the median of BENCH_RUNS (3) timed runs; one
+timed run when the warm-up took longer than LONG seconds.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskframe.plans.catalog import QUERIES  # noqa: E402
-from riskframe.session import local_session  # noqa: E402
+from riskframe.session import clean_up, local_session  # noqa: E402
+
+LONG = 8.0
 
 HEADLINE = [
     "features_instalments",
@@ -49,13 +52,14 @@ def run(query, spark, sf_dir) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores)
     seconds = {}
     for name in names:
-        run(QUERIES[name], spark, sf_dir)  # warm-up
-        seconds[name] = round(statistics.median(run(QUERIES[name], spark, sf_dir) for _ in range(runs)), 3)
+        times = 1 if run(QUERIES[name], spark, sf_dir) > LONG else runs
+        seconds[name] = round(statistics.median(run(QUERIES[name], spark, sf_dir) for _ in range(times)), 3)
+        clean_up(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -61,3 +61,19 @@ def test_debug_mode_and_inferred_types(spark, raw):
 def test_one_class_is_recorded_as_zero(spark):
     df = spark.createDataFrame([(i, float(i), 0) for i in range(5)], "SK_ID_CURR long, a double, TARGET int")
     assert workflow.quick_evaluation(df)[2]["roc_auc"] == 0.0
+
+
+def test_clean_up_removes_stored_tables(spark):
+    import os
+
+    from riskframe import session
+
+    before = session._MADE.pop(spark.sparkContext.applicationId, [])
+    try:
+        df = session.materialize(spark.range(5), "scrap")
+        path = session._MADE[spark.sparkContext.applicationId][0].removeprefix("file://")
+        assert df.count() == 5 and os.path.isdir(path)
+        assert session.clean_up(spark) == 1 and not os.path.exists(path)
+        assert session.clean_up(spark) == 0
+    finally:
+        session._MADE[spark.sparkContext.applicationId] = before
