@@ -149,11 +149,16 @@ def smote(
     )
 
 
-def minority_neighbors(minority: DataFrame, key: str, features: list[str], k: int = 5) -> DataFrame:
-    """(base, pick, neighbor, vec, neighbor_vec): the k nearest rows of every row."""
+def minority_neighbors(
+    minority: DataFrame, key: str, features: list[str], k: int = 5, approximate: bool = False
+) -> DataFrame:
+    """(base, pick, neighbor, vec, neighbor_vec): the k nearest rows of every row.
+
+    ``approximate`` is the way to go from about ten features on (see ``neighbors``).
+    """
     point = F.array(*[col(f).cast("double") for f in features])
     points = minority.select(col(key).alias("id"), point.alias("vec"))
-    return nearest_neighbors(points, k).select(
+    return nearest_neighbors(points, k, approximate=approximate).select(
         F.col("id").alias("base"), F.col("rank").alias("pick"), "neighbor", "vec", "neighbor_vec"
     )
 

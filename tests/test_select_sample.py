@@ -177,3 +177,27 @@ def test_codes_of_many_categories(spark):
         want[r["id"]] = -1 if r["v"] is None else seen.setdefault(r["v"], len(seen))
     got = {r["id"]: r["v"] for r in encode.factorize(df, ["v"], ["id"]).collect()}
     assert got == want
+
+
+def test_approximate_neighbours_with_many_columns(spark):
+    """40 columns: most of the true neighbours from a fraction of all pairs."""
+    from riskframe.operators import neighbors
+
+    rng = np.random.default_rng(4)
+    n, k = 4000, 5
+    x = rng.normal(size=(n, 40))
+    x[50] = x[51]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    leaves = neighbors.tree_leaves(points.withColumnRenamed("id", "sid"), 10, 80).groupBy("tree", "leaf").count()
+    pairs = sum(r["count"] ** 2 for r in leaves.collect())
+    assert pairs < 0.25 * n * n
+    got = {}
+    for r in neighbors.nearest_neighbors(points, k, approximate=True).collect():
+        assert abs(((x[r["id"]] - x[r["neighbor"]]) ** 2).sum() - r["distance2"]) < 1e-9
+        got.setdefault(r["id"], set()).add(r["neighbor"])
+    d2 = ((x**2).sum(1)[:, None] + (x**2).sum(1)[None]) - 2 * x @ x.T
+    np.fill_diagonal(d2, np.inf)
+    want = np.argsort(d2, axis=1)[:, :k]
+    assert all(len(v) == k and i not in v for i, v in got.items()) and len(got) == n
+    assert 51 in got[50] and 50 in got[51]
+    assert np.mean([len(got[i] & set(want[i])) / k for i in range(n)]) > 0.6
