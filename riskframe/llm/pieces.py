@@ -58,6 +58,12 @@ class PieceModel:
         self.ids = {self.pieces[i]: i for i in plain}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece crosses the start of a word; this model can't be cut into words")
+        # The symbol of every code point: its piece, or a negative number that is never part of a pair.
+        self.symbols = -1 - np.arange(0x110000, dtype=np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        self.id_texts = [str(i).encode() for i in range(size)]
         self.bytes = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)]
         # Equal scores have equal ranks: the leftmost place then wins.
         self.rank = np.searchsorted(np.unique(-scores), -scores).astype(np.int64)
@@ -103,9 +109,7 @@ class PieceModel:
     def _encode_block(self, words: list[str]) -> list[list[int]]:
         text = "".join(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        # Characters outside the vocabulary get negative numbers: never part of a pair.
-        get = self.ids.get
-        sym = np.fromiter((get(c, -1 - ord(c)) for c in text), np.int64, len(text))
+        sym = self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
         word = np.repeat(np.arange(len(words)), lengths)
         done_sym, done_word = [], []
         pair = self._pairs(sym, word)
@@ -147,8 +151,11 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
         ends = np.searchsorted(word, np.arange(len(words) + 1))
-        flat = sym.tolist()
-        return [self._with_bytes(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        flat, ends = sym.tolist(), ends.tolist()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        for w in np.unique(word[sym < 0]).tolist():
+            out[w] = self._with_bytes(out[w])
+        return out
 
     def _pairs(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         pair = np.full(len(sym), -1, np.int64)
@@ -171,8 +178,6 @@ class PieceModel:
         return at[(number - number[run][np.cumsum(run) - 1]) % 2 == 0]
 
     def _with_bytes(self, symbols: list[int]) -> list[int]:
-        if min(symbols) >= 0:
-            return symbols
         out = []
         for s in symbols:
             out += [s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")]
@@ -204,25 +209,31 @@ def load_model(path: str) -> PieceModel:
 
 
 class Encoder:
-    """Encodes texts and remembers words: (number of ids, ids as decimal text, decoded bytes)."""
+    """Encodes texts and remembers words: their ids as decimal text, and their bytes when decoded."""
 
     def __init__(self, path: str):
         self.model = load_model(path)
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """Entries of all the words; those of short words are remembered."""
-        wanted = set(words)
-        new = [w for w in wanted if w not in self.known]
-        extra = {}
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(wanted)
-            for w, ids in zip(new, self.model.encode_words(new)):
-                entry = (len(ids), ",".join(map(str, ids)).encode(), self.model.decode_bytes(ids))
-                (self.known if len(w) <= LONGEST else extra)[w] = entry
-        return extra
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For every text its ids as decimal text joined by commas, and the text that they decode to."""
+        cut = [cut_words(t or "") for t in texts]
+        wanted = set().union(*cut)
+        new = wanted - self.known.keys()
+        if new and len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = wanted
+        words = list(new)
+        id_text, spoken = self.model.id_texts.__getitem__, self.model._spoken.__getitem__
+        for word, ids in zip(words, self.model.encode_words(words)):
+            self.known[word] = b",".join(map(id_text, ids)), b"".join(map(spoken, ids))
+        out = []
+        for found in cut:
+            ids, decoded = zip(*map(self.known.__getitem__, found)) if found else ((), ())
+            out.append((b",".join(ids), finish_decoding(b"".join(decoded))))
+        for word in [w for w in new if len(w) > LONGEST]:
+            del self.known[word]
+        return out
 
 
 @functools.cache
@@ -237,11 +248,8 @@ def finish_decoding(raw: bytes) -> bytes:
 
 
 def encode(text: str | None, path: str) -> list[int]:
-    words = cut_words(text or "")
-    encoder = _encoder(path)
-    extra = encoder.learn(words)
-    parts = [(encoder.known.get(w) or extra[w])[1] for w in words]
-    return [int(i) for i in b",".join(parts).split(b",")] if parts else []
+    ids = _encoder(path).encode_batch([text])[0][0]
+    return [int(i) for i in ids.split(b",")] if ids else []
 
 
 def decode(ids: Iterable[int], path: str) -> str:
@@ -252,22 +260,15 @@ def _encoded(path: str, with_ids: bool):
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            texts = [cut_words(t.as_py() or "") for t in batch.column(1)]
-            counts, id_texts, decoded = [], [], []
-            extra = encoder.learn(w for t in texts for w in t)
-            get = encoder.known.get
-            for words in texts:
-                entries = [get(w) or extra[w] for w in words]
-                counts.append(sum(e[0] for e in entries))
-                id_texts.append(b",".join([e[1] for e in entries]))
-                decoded.append(finish_decoding(b"".join([e[2] for e in entries])))
+            pairs = encoder.encode_batch(batch.column(1).to_pylist())
+            id_texts, decoded = [p[0] for p in pairs], [p[1] for p in pairs]
             if with_ids:
                 lists = [np.array(t.split(b","), np.int32) if t else np.empty(0, np.int32) for t in id_texts]
                 columns = [pa.array(lists, pa.list_(pa.int32())), pa.array([d.decode() for d in decoded], pa.string())]
                 names = ["ids", "decoded"]
             else:
                 columns = [
-                    pa.array(counts, pa.int64()),
+                    pa.array([t.count(b",") + 1 if t else 0 for t in id_texts], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in id_texts], pa.string()),
                     pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
                 ]
