@@ -1,7 +1,8 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments of about log2(number of codes) bits, and
-the index holds every code under each of its segments. A round lets the segment
+A code of 64 bits is cut into segments of about log2(number of codes) - 2 bits,
+so that a segment value has some four codes and probing costs no more than
+verifying. The index holds every code under each of its segments. A round lets the segment
 radius grow by one: each open query probes all segment values at that distance
 and verifies what it finds. After radius a on all m segments every code within
 m * (a + 1) - 1 bits is known, as a farther code differs by more than a bits in
@@ -45,7 +46,7 @@ def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 def _segments(n: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of each segment, for n codes."""
-    m = max(1, min(BITS // 2, round(BITS / max(1.0, math.log2(max(n, 2))))))
+    m = max(1, min(BITS // 2, round(BITS / max(1.0, math.log2(max(n, 2)) - 2))))
     cuts = [s * BITS // m for s in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
