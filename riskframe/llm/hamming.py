@@ -93,7 +93,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     found = None
     done = []
     for radius in range(max(w for _, w in segments) + 1):
-        hits = _probes(open_queries, segments, radius).join(index, ["seg", "value"])
+        # The planner takes the probes for as few as the queries and would broadcast them.
+        hits = _probes(open_queries, segments, radius).hint("merge").join(index, ["seg", "value"])
         differ = F.col("query").bitwiseXOR(F.col("code"))
         # New unless an earlier segment has this radius too, or a later one a smaller radius.
         new = F.lit(True)
