@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.store import keep, sized
 
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9]={0,2}"
-#: Characters of context on each side, up to the next candidate.
+#: One or two '=' at the end are padding unless a value follows.
+CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9](?:={1,2}(?!=?[\"'`]?[A-Za-z0-9+/_.\-]))?"
+#: Characters of context on each side, other candidates included.
 CONTEXT = 40
+#: Candidates with the gaps between them that CONTEXT characters can span, at most.
+SPANNED = 6
 #: Documents that must use a word for it to count as one.
 WORD_DOCS = 3
 #: Labelled findings used for fitting, at most, of each kind.
@@ -68,17 +71,24 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     pairs = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("values")).alias("gaps"), F.col("values"))
     starts = F.aggregate(pairs, zero, placed, lambda a: a["starts"])
-    around = F.transform("gaps", lambda g: F.struct(F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
-    return (
-        found.select("doc_id", "version", "path", "values", starts.alias("starts"), around.alias("around"))
-        .select("doc_id", "version", "path", "starts", "around", F.posexplode("values").alias("i", "value"))
-        .select(
-            "doc_id", "version", "path",
-            F.get("starts", F.col("i")).alias("start"),
-            "value",
-            F.get("around", F.col("i"))["tail"].alias("before"),
-            F.get("around", F.col("i") + 1)["head"].alias("after"),
+    # The text before each candidate is its gap and the ends of the pairs before it; the text after it likewise.
+    ends = F.transform(pairs, lambda p: F.right(F.concat(p["gaps"], p["values"]), F.lit(CONTEXT)))
+    heads = F.transform(
+        F.arrays_zip(F.col("values"), F.slice("gaps", F.lit(2), F.size("values")).alias("gaps")),
+        lambda p: F.left(F.concat(p["values"], p["gaps"]), F.lit(CONTEXT)),
+    )
+
+    def described(value: Column, i: Column) -> Column:
+        first = F.greatest(i - SPANNED, F.lit(0))
+        before = F.concat(F.array_join(F.slice("ends", first + 1, i - first), ""), F.get("gaps", i))
+        after = F.concat(F.get("gaps", i + 1), F.array_join(F.slice("heads", i + 2, F.lit(SPANNED)), ""))
+        return F.struct(
+            F.get("starts", i).alias("start"), value.alias("value"),
+            F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
         )
+
+    return found.withColumns({"starts": starts, "ends": ends, "heads": heads}).select(
+        "doc_id", "version", "path", F.inline(F.transform("values", described))
     )
 
 

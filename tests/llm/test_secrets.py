@@ -63,3 +63,27 @@ def test_odd_rows(spark):
     assert by_id[None] == ['é\U0001f642 password: "[SECRET]" and 1234567890123456']
     assert secrets.find_secrets(docs.limit(0)).count() == 0
     assert secrets.find_secrets(docs.drop("source")).count() == len(got) + 1
+
+
+def test_context_goes_on_past_other_candidates(spark):
+    """Long names are candidates themselves, and still the words around their values."""
+    rows = [
+        (1, f'github_access_token = "{KEY}"'), (2, f"x.config.api_token: {KEY}"), (3, f"aws_secret_access_key={KEY}=="),
+        (4, f'aws_secret_access_key=="{KEY}"'), (5, f"{KEY[:16]}= {KEY[:17]}==\n" * 9), (6, f"my {'Ab1+' * 5}== {KEY}"),
+    ] + [(i, f"see www.example{i}.host.org now") for i in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.dictionary(docs)
+    described = secrets.features(secrets.candidates(docs), words, secrets.transition_costs(words))
+    got = {(r.doc_id, r.value): r for r in described.withColumn("label", secrets.rule_label()).collect()}
+    text = dict(rows)
+    for (i, value), r in got.items():
+        assert text[i][r.start :].startswith(value)
+        assert r.before == text[i][max(0, r.start - 40) : r.start]
+        assert r.after == text[i][r.start + len(value) :][:40]
+    secret = {1: KEY, 2: KEY, 3: KEY + "==", 4: KEY}
+    for i, value in secret.items():
+        assert got[i, value].named == got[i, value].assigned == got[i, value].label == 1
+    assert got[1, KEY].quoted == got[4, KEY].quoted == 1
+    assert {v for i, v in got if i == 3} == {"aws_secret_access_key", KEY + "=="}
+    texts = {r.doc_id: r.text for r in secrets.redact(docs, secrets.find_secrets(docs)).collect()}
+    assert all(KEY not in texts[i] for i in secret) and texts[12] == text[12]
