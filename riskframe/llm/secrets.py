@@ -1,6 +1,8 @@
 """Secrets in texts: candidates, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more key-like characters. It is described by its
+A candidate is a run of 16 or more key-like characters, or a value of six or more
+that follows a secret-like name and '=' or ':', quoted or up to white space or a
+double quote. It is described by its
 length, its characters and their transitions (under counts from the corpus), how
 much of it is covered by words that several documents use, the path of its
 document and the words around it. The forest learns from labelled findings;
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.store import keep, sized
 
 #: One or two '=' at the end are padding unless a value follows.
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9](?:={1,2}(?!=?[\"'`]?[A-Za-z0-9+/_.\-]))?"
+CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9_\-](?:={1,2}(?!=?[\"'`]?[A-Za-z0-9+/_.\-]))?"
 #: Characters of context on each side, other candidates included.
 CONTEXT = 40
 #: Candidates with the gaps between them that CONTEXT characters can span, at most.
@@ -36,6 +38,8 @@ SPANNED = 6
 WORD_DOCS = 3
 #: Labelled findings used for fitting, at most, of each kind.
 TRAIN_ROWS = 10_000
+#: Share of a value without digits that is common words, from which it is text and no secret.
+WORDS_COVER = 0.7
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 20, 6, 2
 
@@ -45,6 +49,18 @@ PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|your|xxxx|0000000|1234
 TEST_PATHS = "test|example|sample|mock|fixture|doc"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
+# The value after a name and a sign, with up to 20 blanks on each side of the sign. The
+# first two lookbehinds are cheap and rule out nearly every place.
+_SIGN = r"(?::=|=>|={1,3}|:)[ \t]{0,20}"
+_NAMED = rf"""(?i:{NAMES})["'`\]]{{0,2}}[ \t]{{0,20}}{_SIGN}"""
+ASSIGNED = (
+    r"""(?<=[=:> \t"'`])(?<=[=:>][ \t]{0,20}["'`]?)(?:"""
+    + "|".join(rf"(?<={_NAMED}{q})[^{q}\s][^{q}\r\n]{{5,}}(?={q})" for q in "\"'`")
+    + rf"""|(?<={_NAMED})[^\s"'`=:>][^\s"`]{{4,}}[^\s"'`])"""
+)
+#: What is looked for; an assigned value goes before what it holds.
+FORM = rf"{ASSIGNED}|{CANDIDATE}"
+
 REPLACEMENT = "[SECRET]"
 
 
@@ -54,12 +70,12 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(place, F.lit("")).alias("path")
     )
-    found = source.where(F.col("text").rlike(CANDIDATE)).select(
+    found = source.where(F.col("text").rlike(FORM)).select(
         "doc_id",
         F.xxhash64("doc_id", "text").alias("version"),
         "path",
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"),
-        F.split("text", CANDIDATE, -1).alias("gaps"),
+        F.regexp_extract_all("text", F.lit(FORM), F.lit(0)).alias("values"),
+        F.split("text", FORM, -1).alias("gaps"),
     )
 
     def placed(acc: Column, x: Column) -> Column:
@@ -179,9 +195,15 @@ def rule_label() -> Column:
     """1 or 0 for findings that plain rules are sure about, else null."""
     value = F.col("value")
     plain = value.rlike("^[0-9]+$") | value.rlike("^[A-Za-z]+$")
-    return F.when(
-        (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("placeholder") == 0) & value.rlike("[0-9]"), 1
-    ).when((F.col("assigned") == 0) & (plain | (F.col("address") == 1)), 0)
+    given = (F.col("named") == 1) & (F.col("assigned") == 1)
+    # A short value of digits only can be a number or a PIN: the forest decides.
+    sure = value.rlike("[0-9]") & ((F.length(value) >= 16) | value.rlike("[^0-9.,]"))
+    words = ~value.rlike("[0-9]") & (F.col("coverage") >= WORDS_COVER)
+    return (
+        F.when(given & (F.col("placeholder") == 0) & sure, 1)
+        .when(given & words, 0)
+        .when((F.col("assigned") == 0) & (plain | (F.col("address") == 1)), 0)
+    )
 
 
 def score_findings(described: DataFrame, label: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:

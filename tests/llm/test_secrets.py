@@ -87,3 +87,25 @@ def test_context_goes_on_past_other_candidates(spark):
     assert {v for i, v in got if i == 3} == {"aws_secret_access_key", KEY + "=="}
     texts = {r.doc_id: r.text for r in secrets.redact(docs, secrets.find_secrets(docs)).collect()}
     assert all(KEY not in texts[i] for i in secret) and texts[12] == text[12]
+
+
+def test_short_and_symbol_values_after_a_name(spark):
+    values = {
+        1: ('password: "', "hunter2-S3cr!t9", '" ok'), 2: ("db_passwd = ", "p@ss:w0rd~$", "\nnext"), 3: ("pwd='", "a1 b2 c3", "'"),
+        4: ("token := ", "Zx81~q", ""), 5: ('{"apikey": "', "k$9!k$9", '"}'), 6: ("auth=", "Ab1+" * 5 + "x_-", " end"),
+        7: ("the run ", "Ab1x" * 5 + "-_", " end"), 8: ("secret:`", "it's \U0001f642 4 u", "`"),
+    }
+    rows = [(i, "".join(v)) for i, v in values.items()]
+    rows += [(i, f"Password: required here, see www.example{i}.host.org now, key: another. monkeys: 7") for i in range(10, 30)]
+    rows += [(i, f"a1:b2 token = short password: '' key=\n\nvalue99") for i in range(30, 33)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.find_secrets(docs)
+    got = {(r.doc_id, r.start, r.value): r.is_secret for r in found.collect()}
+    for i, (before, value, _) in values.items():
+        assert (i, len(before), value) in got
+        assert i == 7 or got[i, len(before), value]
+    texts = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    for i, (before, value, after) in values.items():
+        assert i == 7 or texts[i] == before + secrets.REPLACEMENT + after
+    assert all(texts[i] == t for i, t in rows if i >= 10)
+    assert spark.createDataFrame([("token: " + "a'" * 50_000 + "b1 " + 'key: "' + "c1 " * 50_000,)], "t string").where(F.col("t").rlike(secrets.FORM)).count() == 1
