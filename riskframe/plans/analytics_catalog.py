@@ -106,7 +106,7 @@ def drift_report(spark, sf_dir):
 def shap_values(spark, sf_dir):
     """Contributions of a forest for every row of the test part."""
     train, test = split(spark, sf_dir)
-    model = models.train(train, MODEL_FEATURES, "y", "random_forest", numTrees=20, maxDepth=5)
+    model = models.train(train, MODEL_FEATURES, "y", "random_forest")
     return explain.contributions(model, test, "loan_id")
 
 

@@ -145,18 +145,7 @@ def _grid_columns(df, *names):
 @register("algorithm_grid")
 def algorithm_grid(spark, sf_dir):
     train, test = split(spark, sf_dir)
-    grid = search.run_algorithm_grid(
-        train,
-        test,
-        "loan_id",
-        "y",
-        MODEL_FEATURES,
-        algorithms={
-            "logreg": {},
-            "random_forest": {"numTrees": 20, "maxDepth": 5},
-            "gradient_boosting": {"maxIter": 5, "maxDepth": 4},
-        },
-    )
+    grid = search.run_algorithm_grid(train, test, "loan_id", "y", MODEL_FEATURES)
     return _grid_columns(
         grid, "train_auc", "test_auc", "test_accuracy", "test_recall_at_best_t", "test_normalized_custom_score", "best_threshold"
     )
@@ -164,17 +153,13 @@ def algorithm_grid(spark, sf_dir):
 
 @register("grid_search")
 def grid_search(spark, sf_dir):
-    runs_df = search.grid_search(
-        model_frame(spark, sf_dir), "loan_id", "y", MODEL_FEATURES, strengths=[0.01, 1.0], penalties=["l1", "l2", "none"],
-        l1_ratios=[0.5], max_iter=100,
-    )
+    runs_df = search.grid_search(model_frame(spark, sf_dir), "loan_id", "y", MODEL_FEATURES)
     return _grid_columns(runs_df, "cv_normalized_score")
 
 
 @register("random_search")
 def random_search(spark, sf_dir):
-    ranges = {"numTrees": (5, 20), "maxDepth": (3, 6), "minInstancesPerNode": (1, 4)}
-    runs_df = search.random_search(model_frame(spark, sf_dir), "loan_id", "y", MODEL_FEATURES, ranges=ranges, trials=3)
+    runs_df = search.random_search(model_frame(spark, sf_dir), "loan_id", "y", MODEL_FEATURES)
     return _grid_columns(runs_df, "cv_normalized_score")
 
 

@@ -215,3 +215,31 @@ def test_csv_missing_texts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,x,name\n1,NA,abc\n2,1.5,\n3,nan,N/A\n")
     got = io.read_csv(spark, str(tmp_path / "a.csv"), "k int, x double, name string").orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, None, "abc"), (2, 1.5, None), (3, None, None)]
+
+
+def test_registered_grids_use_the_reference_sizes(monkeypatch):
+    """Nothing but the data and the column names is given, so the library's defaults hold."""
+    import inspect
+
+    from riskframe.plans import analytics_catalog, models_catalog
+
+    seen = {}
+
+    def note(module, name):
+        kept = inspect.signature(getattr(module, name))
+        monkeypatch.setattr(module, name, lambda *a, **k: seen.update({name: kept.bind(*a, **k).arguments}))
+
+    for catalog in (models_catalog, analytics_catalog):
+        monkeypatch.setattr(catalog, "split", lambda *a: (None, None))
+    monkeypatch.setattr(models_catalog, "model_frame", lambda *a: None)
+    monkeypatch.setattr(models_catalog, "_grid_columns", lambda *a: None)
+    monkeypatch.setattr(analytics_catalog.explain, "contributions", lambda *a: None)
+    for name in ("run_algorithm_grid", "grid_search", "random_search"):
+        note(search, name)
+    note(models, "train")
+    for query in (models_catalog.algorithm_grid, models_catalog.grid_search, models_catalog.random_search, analytics_catalog.shap_values):
+        query(None, None)
+    for name, given in seen.items():
+        data = {"df", "train_df", "test_df", "key", "target", "features"} | ({"algorithm"} if name == "train" else set())
+        assert set(given) <= data, name
+    assert len(seen) == 4 and seen["train"]["algorithm"] == "random_forest"
