@@ -11,7 +11,7 @@ DataFrame functions and the forest of ``pyspark.ml`` only.
 
 Defined cases: null, empty and blank texts have no candidates; a null path is an
 empty one; rows with equal id and text are one document; without labels of both
-kinds every score is the share of positive labels (0 without any); an empty table
+kinds every finding's score is its own label, or else its rule label, or else 0; an empty table
 gives an empty result; other columns are ignored, or carried along by ``redact``.
 """
 
@@ -219,7 +219,8 @@ def score_findings(described: DataFrame, label: Column | None = None, train_rows
     train = keep(chosen[0].union(chosen[1]).select("__label", *FEATURES), "labelled")
     sizes = {r["__label"]: r["n"] for r in train.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return described.select(*columns, F.lit(1.0 if sizes.get(1) else 0.0).alias("score"))
+        # Nothing to tell apart: a finding is not decided by the kind of the others.
+        return described.select(*columns, F.coalesce("__label", rule_label(), F.lit(0)).cast("double").alias("score"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="__features")
     forest = RandomForestClassifier(
         labelCol="__label", featuresCol="__features", probabilityCol="__probability", rawPredictionCol="__raw",

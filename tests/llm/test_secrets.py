@@ -109,3 +109,15 @@ def test_short_and_symbol_values_after_a_name(spark):
         assert i == 7 or texts[i] == before + secrets.REPLACEMENT + after
     assert all(texts[i] == t for i, t in rows if i >= 10)
     assert spark.createDataFrame([("token: " + "a'" * 50_000 + "b1 " + 'key: "' + "c1 " * 50_000,)], "t string").where(F.col("t").rlike(secrets.FORM)).count() == 1
+
+
+def test_labels_of_one_kind_do_not_decide_the_others(spark):
+    path = "see src/main/util_2/reader.py now"
+    docs = spark.createDataFrame([(1, f'token = "{KEY}"'), (2, path)], "doc_id long, text string")
+    found = secrets.find_secrets(docs)
+    assert {r.doc_id: r.score for r in found.collect()} == {1: 1.0, 2: 0.0}
+    assert {r.doc_id: r.text for r in secrets.redact(docs, found).collect()} == {1: 'token = "[SECRET]"', 2: path}
+    words = secrets.dictionary(docs)
+    described = secrets.features(secrets.candidates(docs), words, secrets.transition_costs(words))
+    label = F.when(F.col("doc_id") == 2, 0)
+    assert {r.doc_id: r.score for r in secrets.score_findings(described, label).collect()} == {1: 1.0, 2: 0.0}
