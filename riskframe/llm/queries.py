@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, forest, hamming, lines, minhash, packing, pieces, quality, secrets, urls
+from riskframe.llm import chat, forest, hamming, lines, minhash, packing, periods, pieces, quality, secrets, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -251,3 +251,44 @@ def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
     out = hamming.nearest_codes(codes, codes.where(F.col("id") % 100 == 0))
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+# --- op13 ------------------------------------------------------------------
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the tail of every tenth document, by crc32 of its id, made periodic by the query's rule."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), g.alias("g"))
+    # The words are a column of their own, so that they are cut out once.
+    cut = chosen.withColumn("words", F.when(F.col("chosen"), words).otherwise(F.array().cast("array<string>")))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    placed = cut.withColumns({"n": n, "a": F.when(n > 0, a), "p": F.when(n > 0, p)})
+    left = F.col("n") - F.col("a")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in documents of which a tenth got a periodic tail."""
+    docs = with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.find_runs(docs).withColumn("best", periods.most_periodic(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

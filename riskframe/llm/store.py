@@ -48,3 +48,9 @@ def remove(spark: SparkSession, *files: str) -> None:
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Rows per Arrow batch for whole texts, which can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def batch_limits(spark: SparkSession, rows: int = 256, megabytes: int = 8) -> None:
+    """Rows and megabytes per Arrow batch, so that long texts do not add up."""
+    small_batches(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
