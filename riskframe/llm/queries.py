@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, forest, hamming, lines, minhash, packing, periods, pieces, quality, secrets, urls
+from riskframe.llm import chat, forest, hamming, lines, minhash, negatives, packing, periods, personal, pieces, quality, secrets, urls
 from riskframe.llm.store import keep
 
 QUERIES = {}
@@ -253,6 +253,57 @@ def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
+# --- op11 ------------------------------------------------------------------
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of emails, addresses, cards and telephone numbers, and the spans that the cues add."""
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = personal.KINDS[: personal.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(personal.listed(base), 256).alias("base_sha256"),
+        personal.listed(F.col("spans")).alias("spans"),
+    )
+
+
+# --- op12 ------------------------------------------------------------------
+
+OP12_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+       n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50; every seventh row has the next label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(rows.withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
 # --- op13 ------------------------------------------------------------------
 
 
