@@ -240,7 +240,7 @@ def mine_hard_negatives(
     panels, slices = math.ceil(sizes["anchors"] / PANEL) or 1, math.ceil(sizes["rows"] / SLICE) or 1
     dealt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     candidates = stored.withColumn("slice", dealt(1, slices))
-    anchors = stored.where(is_anchor).withColumn("panel", dealt(2, panels))
+    anchors = keep(stored.where(is_anchor).withColumn("panel", dealt(2, panels)), "anchors")
 
     near = _cells(anchors, candidates, panels, slices, _positives(positives), _POSITIVE)
     first = keep(_ranked(near, ["anchor_id"], "positive_score", "positive_id", positives), "positives")
