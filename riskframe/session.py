@@ -21,6 +21,8 @@ def configure(spark: SparkSession) -> SparkSession:
     # sets have up to about 200. Wider methods outgrow the JVM's method size.
     spark.conf.set("spark.sql.codegen.maxFields", "200")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Batches for Python hold rows of any width: they end by bytes, too.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
@@ -90,3 +92,11 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df) -> None:
+    """Remove the files of a table that ``materialize`` wrote and nobody reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
