@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.components import connected_components
-from riskframe.llm.store import keep, sized, small_batches
+from riskframe.llm.store import keep, released, sized, small_batches
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -224,7 +224,7 @@ def near_duplicates(
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profiles = keep(
-        source.mapInArrow(_profiles(words, bands, rows), "doc_id bigint, n bigint, set_key binary, bands array<bigint>"),
+        source.mapInArrow(released(_profiles(words, bands, rows), _hashes), "doc_id bigint, n bigint, set_key binary, bands array<bigint>"),
         "profiles",
     )
     known = profiles.where("doc_id is not null and n > 0")
@@ -241,7 +241,7 @@ def near_duplicates(
     members = keep(keys.join(crowded, "key"), "members")
 
     wanted = sized(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "rep bigint, shingles array<bigint>"), "sets")
+    sets = keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(released(_sets(words), _hashes), "rep bigint, shingles array<bigint>"), "sets")
 
     pairs = members.where((F.col("rep") != F.col("head.rep")) & _near_in_size(F.col("n"), F.col("head.n"), percent))
     pairs = pairs.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()

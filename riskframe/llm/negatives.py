@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from riskframe.llm.store import batch_limits, keep
+from riskframe.llm.store import small_batches, keep
 
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these percentages of the positive's.
@@ -234,7 +234,7 @@ def mine_hard_negatives(
     of its first ``positives`` other rows of the same label come the first ``negatives``
     rows of another label with ``low`` % to ``high`` % of the positive's score.
     """
-    batch_limits(rows.sparkSession, 4096)
+    small_batches(rows.sparkSession, 4096)
     stored = keep(participants(rows, vec_id, vector, label), "participants")
     sizes = stored.agg(F.count("*").alias("rows"), F.count_if(is_anchor).alias("anchors")).first()
     panels, slices = math.ceil(sizes["anchors"] / PANEL) or 1, math.ceil(sizes["rows"] / SLICE) or 1

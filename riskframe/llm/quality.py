@@ -17,6 +17,7 @@ repeated rows count each; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.store import small_batches
+from riskframe.llm.store import released, small_batches
 
 #: Hash slots of words, and dimensions: the word vectors take 4 MB whatever the corpus.
 SLOTS, DIMENSIONS, NONZERO = 1 << 15, 32, 4
@@ -99,7 +100,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     schema = "slot int, " + ", ".join(f"v{d} bigint" for d in range(DIMENSIONS))
     sums = (
         docs.select(F.col(text).cast("string").alias("text"))
-        .mapInArrow(_neighbour_sums, schema)
+        .mapInArrow(released(_neighbour_sums, _slots), schema)
         .groupBy("slot")
         .agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMENSIONS)])
         .toArrow()
@@ -149,10 +150,14 @@ class QualityModel:
         """A column function: text -> probability of good quality."""
         shared = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
+        def scores(batches):
             model = shared.value
-            return pd.Series(model.probabilities(pooled(list(texts), model.vectors, index_vectors_cached())))
+            for texts in batches:
+                yield pd.Series(model.probabilities(pooled(list(texts), model.vectors, index_vectors_cached())))
+
+        @F.pandas_udf("double")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from released(scores, _slots)(batches)
 
         return score
 
@@ -237,7 +242,7 @@ def fit(
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["id", "y", "x"])
 
-    got = rows.select("id", "y", "text").mapInArrow(features, "id bigint, y int, x array<float>").toArrow()
+    got = rows.select("id", "y", "text").mapInArrow(released(features, _slots), "id bigint, y int, x array<float>").toArrow()
     ids, y = got.column("id").to_numpy(), got.column("y").to_numpy()
     if not len(y):
         return QualityModel(vectors, None, 0.5)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +48,29 @@ def remove(spark: SparkSession, *files: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch for whole texts, which can be long."""
+def small_batches(spark: SparkSession, rows: int = 256, megabytes: int = 8) -> None:
+    """Rows and megabytes per Arrow batch, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def batch_limits(spark: SparkSession, rows: int = 256, megabytes: int = 8) -> None:
-    """Rows and megabytes per Arrow batch, so that long texts do not add up."""
-    small_batches(spark, rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def released(run, *memories):
+    """``run`` over a task's batches, after which its worker gives back what it holds.
+
+    Workers live on between tasks and stages, so the words that one stage remembers
+    would stay beside the memory of the next stages. ``memories`` are emptied, and
+    freed pages go back to the system.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for memory in memories:
+                memory.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
