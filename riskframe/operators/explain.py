@@ -1,14 +1,7 @@
 """Feature contributions of fitted models, and their summaries.
 
-Tree ensembles: path-dependent Shapley values. For one leaf the Shapley value
-of a feature is the integral of the multilinear extension of the "which
-features are known" game (Owen, 1972): with o = does the row satisfy the
-leaf's conditions on the feature, z = share of training rows that do, and v =
-the leaf's output,
-
-    phi_i = v * (o_i - z_i) * integral_0^1 prod_{j != i} (t*o_j + (1-t)*z_j) dt
-
-The integrand is a polynomial, so Gauss-Legendre quadrature is exact.
+Tree ensembles have path-dependent Shapley values (see ``attribution``), logistic
+regressions the closed form.
 """
 
 from __future__ import annotations
@@ -18,141 +11,30 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col
+from riskframe.operators.attribution import base_values, path_trees, tree_shapley
+from riskframe.operators.boosting import BoostedModel
 from riskframe.operators.models import feature_list
-from riskframe.session import scratch_path
-
-CELLS_PER_STEP = 4_000_000
-
-
-def node_table(spark: SparkSession, model) -> list[list]:
-    """The node rows of each tree, read back from the saved model.
-
-    The size is that of the model, not of the data.
-    """
-    path = scratch_path(spark, "trees")
-    model.save(path)
-    node = F.col("nodeData")
-    rows = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID",
-            node["id"].alias("id"),
-            node["prediction"].alias("prediction"),
-            node["impurityStats"].alias("stats"),
-            node["rawCount"].alias("n"),
-            node["leftChild"].alias("left"),
-            node["rightChild"].alias("right"),
-            node["split"]["featureIndex"].alias("feature"),
-            F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        )
-        .collect()
-    )
-    trees: dict[int, dict] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    return [trees[t] for t in sorted(trees)]
-
-
-def leaf_paths(nodes: dict) -> list[tuple[dict, object]]:
-    """(feature -> [low, high, share], leaf node) for every leaf of one tree."""
-    found = []
-    stack = [(0, {})]
-    while stack:
-        index, conditions = stack.pop()
-        node = nodes[index]
-        if node["left"] < 0:
-            found.append((conditions, node))
-            continue
-        for child, goes_left in ((node["left"], True), (node["right"], False)):
-            low, high, share = conditions.get(node["feature"], (-np.inf, np.inf, 1.0))
-            share = share * nodes[child]["n"] / node["n"]
-            bounds = (low, min(high, node["threshold"]), share) if goes_left else (max(low, node["threshold"]), high, share)
-            stack.append((child, {**conditions, node["feature"]: bounds}))
-    return found
 
-
-def leaf_arrays(model, spark: SparkSession) -> dict[str, np.ndarray]:
-    """All leaves of an ensemble as padded arrays (leaf x condition)."""
-    if isinstance(model, RandomForestClassificationModel):
-        weights = [1.0 / model.getNumTrees] * model.getNumTrees
-
-        def output(node):
-            stats = np.array(node["stats"], dtype=float)
-            return stats / stats.sum()
-    elif isinstance(model, GBTClassificationModel):
-        weights = list(model.treeWeights)
-
-        def output(node):  # log-odds of class 1 are twice the margin
-            return np.array([-2.0 * node["prediction"], 2.0 * node["prediction"]])
-    else:
-        raise ValueError("not a tree ensemble")
-    leaves = []
-    for weight, nodes in zip(weights, node_table(spark, model)):
-        leaves += [(conditions, weight * output(leaf)) for conditions, leaf in leaf_paths(nodes)]
-    depth = max(1, max(len(c) for c, _ in leaves))
-    feature = np.zeros((len(leaves), depth), dtype=int)
-    low = np.full((len(leaves), depth), -np.inf)
-    high = np.full((len(leaves), depth), np.inf)
-    share = np.ones((len(leaves), depth))
-    for i, (conditions, _) in enumerate(leaves):
-        for j, (f, (a, b, z)) in enumerate(conditions.items()):
-            feature[i, j], low[i, j], high[i, j], share[i, j] = f, a, b, z
-    value = np.array([v for _, v in leaves])
-    return {"feature": feature, "low": low, "high": high, "share": share, "value": value}
-
-
-def base_values(leaves: dict[str, np.ndarray]) -> np.ndarray:
-    return (leaves["share"].prod(axis=1)[:, None] * leaves["value"]).sum(axis=0)
-
-
-def shapley(x: np.ndarray, leaves: dict[str, np.ndarray], n_features: int) -> np.ndarray:
-    """(rows, classes, features) contributions."""
-    n_leaves, depth = leaves["feature"].shape
-    classes = leaves["value"].shape[1]
-    points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
-    points, weights = (points + 1) / 2, weights / 2
-    result = np.zeros((len(x), classes, n_features))
-    # Contributions add up over the leaves, so a large model goes in parts, too.
-    part = max(1, CELLS_PER_STEP // depth)
-    if n_leaves > part:
-        for first in range(0, n_leaves, part):
-            result += shapley(x, {k: v[first : first + part] for k, v in leaves.items()}, n_features)
-        return result
-    step = max(1, CELLS_PER_STEP // (n_leaves * depth))
-    share = leaves["share"][None, :, :]
-    flat_feature = leaves["feature"].ravel()
-    for start in range(0, len(x), step):
-        rows = x[start : start + step]
-        seen = rows[:, leaves["feature"]]
-        known = ((seen > leaves["low"]) & (seen <= leaves["high"])).astype(float)
-        integral = np.zeros_like(known)
-        for t, w in zip(points, weights):
-            factor = t * known + (1 - t) * share
-            integral += w * factor.prod(axis=2, keepdims=True) / factor
-        effect = (known - share) * integral
-        for c in range(classes):
-            cells = (effect * leaves["value"][None, :, c, None]).reshape(len(rows), -1)
-            for f in range(n_features):
-                result[start : start + step, c, f] = cells[:, flat_feature == f].sum(axis=1)
-    return result
-
-
-def contributions(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+def contributions(model: PipelineModel | BoostedModel, df: DataFrame, key: str) -> DataFrame:
     """(key, class, feature, value, contribution, base) for every row, class and feature.
 
     ``value`` is the scaled value the classifier sees. Probabilities are
     explained for a forest, log-odds for boosting and logistic regression.
     """
     features = feature_list(model)
-    scaler, fitted = model.stages[0], model.stages[-1]
-    scaled = scaler.transform(df).select(col(key), vector_to_array(F.col("__features")).alias("x"))
+    if isinstance(model, BoostedModel):
+        fitted = model
+        scaled = df.select(col(key), F.array(*[col(f).cast("double") for f in features]).alias("x"))
+    else:
+        scaler, fitted = model.stages[0], model.stages[-1]
+        scaled = scaler.transform(df).select(col(key), vector_to_array(F.col("__features")).alias("x"))
     if isinstance(fitted, LogisticRegressionModel):
         # Scaled train features have mean 0, so the closed form is coefficient times value.
         coef = [float(v) for v in fitted.coefficients]
@@ -172,16 +54,16 @@ def contributions(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
         )
     else:
         spark = df.sparkSession
-        leaves = leaf_arrays(fitted, spark)
-        base = base_values(leaves)
-        shared = spark.sparkContext.broadcast(leaves)  # the size of the model
+        trees, constant = path_trees(fitted, spark)
+        base = base_values(trees, constant)
+        shared = spark.sparkContext.broadcast(trees)  # the size of the model
         width = len(features)
         key_type = scaled.schema[key].dataType.simpleString()
 
         def explain(batches):
             for pdf in batches:
                 x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), width)
-                phi = shapley(x, shared.value, width)
+                phi = tree_shapley(x, shared.value)
                 for c in range(phi.shape[1]):
                     yield pd.DataFrame(
                         {"k": pdf[key].to_numpy(), "class": c, "x": list(x), "phi": list(phi[:, c, :]), "base": base[c]}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import col
 from riskframe.operators import metrics as m
-from riskframe.operators import models, runs, sample, scale, search
+from riskframe.operators import boosting, models, runs, sample, scale, search
 from riskframe.plans import roles
 from riskframe.plans import sqltext as s
 from riskframe.plans.registry import near, near_sql, register, tidy
@@ -76,6 +76,22 @@ def _train_query(key: str, algorithm: str, **params):
 _train_query("train_logreg", "logreg")
 _train_query("train_random_forest", "random_forest")
 _train_query("train_gbt", "gradient_boosting")
+_train_query("train_second_order", "second_order_boosting")
+_train_query("train_ordered", "ordered_boosting")
+
+
+CODES = f"""
+SELECT loan_id, priority, {near_sql("(coalesce(sum(y) OVER earlier, 0) + prior * 2) / (count(y) OVER earlier + 2)")} AS code
+FROM loans, (SELECT avg(y) AS prior FROM loans) p
+WINDOW earlier AS (PARTITION BY priority ORDER BY md5(loan_id || ':42'), loan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@register("ordered_target_codes", CODES, ["loans"])
+def ordered_target_codes(spark, sf_dir):
+    """The mean target of the earlier rows of the same priority, drawn towards that of all rows."""
+    df = loans(spark, sf_dir).select("loan_id", "priority", "y")
+    prior = df.agg(F.avg("y")).first()[0]
+    return tidy(boosting.ordered_codes(df, "loan_id", "priority", "y", prior, strength=2.0).drop("y"))
 
 
 # --------------------------------------------------------------------------
@@ -166,7 +182,7 @@ def random_search(spark, sf_dir):
 @register("final_evaluation")
 def final_evaluation(spark, sf_dir):
     train, test = split(spark, sf_dir)
-    return search.final_evaluation(train, test, "y", MODEL_FEATURES, "random_forest", numTrees=50, maxDepth=6)
+    return search.final_evaluation(train, test, "y", MODEL_FEATURES, "random_forest")
 
 
 @register(

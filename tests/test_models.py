@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import explain, metrics, models, runs, scale, score, search
+from riskframe.operators import attribution, explain, metrics, models, runs, scale, score, search
 from riskframe.plans.stats_catalog import MODEL_FEATURES, model_frame
 from riskframe.sources import io
 from riskframe.streaming.score import read_responses, rejected_stream, score_stream
@@ -123,31 +123,70 @@ def shapley_by_subsets(nodes, output, x, n_features):
     return phi
 
 
-def test_shapley_against_all_subsets(spark, loans):
+def test_shapley_against_all_subsets(spark, loans, monkeypatch):
     model = models.train(loans, MODEL_FEATURES, "y", "random_forest", numTrees=3, maxDepth=4)
     forest = model.stages[-1]
-    leaves = explain.leaf_arrays(forest, spark)
+    trees, constant = attribution.path_trees(forest, spark)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4, 4))
-    got = explain.shapley(x, leaves, 4)[:, 1, :]
+    x = rng.normal(size=(9, 4))
+    got = attribution.tree_shapley(x, trees)[:, 1, :]
 
     def share_of_ones(node):
         stats = np.array(node["stats"])
         return stats[1] / stats.sum()
 
-    kept, explain.CELLS_PER_STEP = explain.CELLS_PER_STEP, 12  # three leaves of depth four at a time
-    try:
-        assert np.allclose(explain.shapley(x, leaves, 4)[:, 1, :], got, atol=1e-12)
-    finally:
-        explain.CELLS_PER_STEP = kept
-
-    trees = explain.node_table(spark, forest)
+    monkeypatch.setattr(attribution, "ROWS", 4)
+    assert np.allclose(attribution.tree_shapley(x, trees)[:, 1, :], got, atol=1e-12)
+    nodes = attribution.node_table(spark, forest)
     for i in range(len(x)):
-        want = sum(shapley_by_subsets(t, share_of_ones, x[i], 4) for t in trees) / len(trees)
+        want = sum(shapley_by_subsets(t, share_of_ones, x[i], 4) for t in nodes) / len(nodes)
         assert got[i] == pytest.approx(want, abs=1e-10)
 
 
-@pytest.mark.parametrize("algorithm,params", [("random_forest", {"numTrees": 6, "maxDepth": 5}), ("gradient_boosting", {"maxIter": 4, "maxDepth": 3}), ("logreg", {})])
+def random_tree(rng, depth, features):
+    """A tree whose paths repeat features, with counts."""
+    rows = []
+
+    def grow(level, cover):
+        me = len(rows)
+        rows.append(None)
+        if level == 0 or cover < 2 or rng.random() < 0.1:
+            v = rng.normal()
+            rows[me] = (-1, 0.0, -1, -1, False, cover, (-v, v))
+        else:
+            first = int(rng.integers(1, cover))
+            sides = grow(level - 1, first), grow(level - 1, cover - first)
+            rows[me] = (int(rng.integers(features)), rng.normal(), *sides, bool(rng.integers(2)), cover, (0.0, 0.0))
+        return me
+
+    grow(depth, 3000)
+    return attribution.PathTree(*[np.array(c) for c in zip(*rows)])
+
+
+def test_shapley_of_deep_trees_with_repeated_features_and_missing_values():
+    rng = np.random.default_rng(2)
+    for depth, features in ((1, 1), (5, 3), (9, 5), (14, 6)):
+        tree = random_tree(rng, depth, features)
+        nodes = [
+            {"left": int(tree.left[n]), "right": int(tree.right[n]), "feature": int(f), "threshold": tree.threshold[n], "n": tree.cover[n], "v": tree.value[n, 1]}
+            for n, f in enumerate(tree.feature)
+        ]
+        x = rng.normal(size=(3, features))
+        got = attribution.tree_shapley(x, [tree])
+        for i in range(len(x)):
+            want = shapley_by_subsets(nodes, lambda node: node["v"], x[i], features)
+            assert got[i, 1] == pytest.approx(want, abs=1e-9) and got[i, 0] == pytest.approx(-want, abs=1e-9)
+        # A missing value goes where the tree sends it.
+        lost = x.copy()
+        lost[:, 0] = np.nan
+        for side in (True, False):
+            tree.missing_left[:] = side
+            there = x.copy()
+            there[:, 0] = -1e9 if side else 1e9
+            assert attribution.tree_shapley(lost, [tree]) == pytest.approx(attribution.tree_shapley(there, [tree]))
+
+
+@pytest.mark.parametrize("algorithm,params", [("random_forest", {"numTrees": 6, "maxDepth": 5}), ("gradient_boosting", {"maxIter": 4, "maxDepth": 3}), ("logreg", {}), ("second_order_boosting", {"rounds": 4, "depth": 4}), ("ordered_boosting", {"rounds": 4, "depth": 4})])
 def test_contributions_add_up(loans, algorithm, params):
     model = models.train(loans, MODEL_FEATURES, "y", algorithm, **params)
     long = explain.contributions(model, loans, "loan_id")
