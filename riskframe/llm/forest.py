@@ -12,11 +12,13 @@ forest of them, so neither pairs nor groups are ever emitted. A pair that meets
 in several leaves is counted in the first tree it shares only. Equal vectors are
 one vertex with a count.
 
-Defined cases: vectors that are null, zero, of another length than the sample's
-most common one, or hold null or non-finite components link with nothing; rows
-without an id are returned unlinked; rows that share an id but not a vector are
-one vertex, whose links are added up; an empty table gives an empty result; other
-columns are ignored.
+Vectors of different lengths have no cosine: every length has a forest of its own.
+Deep forests have more trees, because every level is one more chance to part a pair.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing; rows without an id are returned unlinked; rows that
+share an id but not a vector are one vertex, whose links are added up; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskframe.llm.components import connected_components
 from riskframe.llm.store import keep
 
 COSINE = 0.9
-TREES = 10
+#: Trees up to SHALLOW levels; one more for each further level.
+TREES, SHALLOW = 10, 10
 LEAF = 256
 #: Vectors this close to a threshold go both ways, in units of the usual offset of a pair at the cosine bound.
 SPILL = 0.2
@@ -54,6 +58,7 @@ class Forest:
         self.depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf))))
         self.fitted = max(0, min(self.depth, int(np.log2(max(len(sample), 1) / NODE_SAMPLE))))
         dims = sample.shape[1]
+        trees += max(0, self.depth - SHALLOW)
         self.directions = _unit(rng.normal(size=(trees * self.depth, dims))).reshape(trees, self.depth, dims)
         # How far two vectors at the cosine bound usually lie apart in one direction.
         self.offset = np.sqrt((2 - 2 * cosine) / dims)
@@ -104,30 +109,55 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _places(shared):
-    """Rows (tree, leaf, rep, copies, embedding, own leaves of all trees) for every leaf of every vector."""
+    """Rows (width, place, rep, copies, embedding, own places) for every leaf of every vector; ``width`` is its length."""
 
     def run(batches):
-        forest = shared.value
+        forests = shared.value
         for batch in batches:
-            dims = forest.directions.shape[2]
             values = batch.column(2)
-            x = np.asarray(values.flatten()).reshape(len(batch), dims)
-            row, tree, leaf = forest.leaves(_unit(x.astype(np.float64)))
-            # A vector's places, sorted: tree and leaf in one number.
-            code = tree.astype(np.int64) << 48 | leaf
-            order = np.lexsort((code, row))
-            sizes = np.bincount(row, minlength=len(batch))
-            ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            own = pa.ListArray.from_arrays(ends, pa.array(code[order]))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code), batch.column(0).take(take), batch.column(1).take(take), values.take(take), own.take(take)],
-                ["place", "rep", "copies", "embedding", "places"],
-            )
+            starts, sizes = values.offsets.to_numpy()[:-1] - values.offsets[0].as_py(), np.diff(values.offsets.to_numpy())
+            flat = np.asarray(values.flatten())
+            for width in np.unique(sizes):
+                some = np.flatnonzero(sizes == width)
+                x = flat[starts[some][:, None] + np.arange(width)].astype(np.float64)
+                row, tree, leaf = forests[int(width)].leaves(_unit(x))
+                # A vector's places, sorted: tree and leaf in one number.
+                code = tree.astype(np.int64) << 48 | leaf
+                order = np.lexsort((code, row))
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(some)))].astype(np.int32)
+                own = pa.ListArray.from_arrays(ends, pa.array(code[order]))
+                take = pa.array(some[row])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(row), width, np.int32)), pa.array(code), batch.column(0).take(take),
+                        batch.column(1).take(take), values.take(take), own.take(pa.array(row)),
+                    ],
+                    ["width", "place", "rep", "copies", "embedding", "places"],
+                )
 
     return run
 
 
+def _forests(classes: DataFrame, trees: int, leaf: int, spill: float, cosine: float) -> dict[int, Forest]:
+    """A forest for each length, fitted on at most SAMPLE of its vectors, chosen by hash."""
+    # One row per length that occurs.
+    totals = {r["width"]: r["c"] for r in classes.groupBy("width").agg(F.count("*").alias("c")).collect()}
+    samples = {w: np.zeros((0, w)) for w in totals}
+    deep = {w: min(1.0, SAMPLE / n) for w, n in totals.items() if n > leaf}
+    if deep:
+        share = F.create_map(*[F.lit(v) for w, part in deep.items() for v in (w, int(part * (1 << 30)))])
+        lucky = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < share[F.col("width")]
+        by_id = Window.partitionBy("width").orderBy("rep")
+        drawn = classes.where(F.col("width").isin(list(deep)) & lucky).withColumn("r", F.row_number().over(by_id))
+        rows = drawn.where(F.col("r") <= SAMPLE).orderBy("width", "rep").select("width", "embedding").toArrow()
+        widths = rows.column("width").to_numpy()
+        vectors = rows.column("embedding").combine_chunks()
+        for w in set(widths.tolist()):
+            part = vectors.take(pa.array(np.flatnonzero(widths == w)))
+            samples[w] = np.asarray(part.flatten(), np.float64).reshape(-1, w)
+    return {w: Forest(_unit(samples[w]), n, trees, leaf, spill, cosine) for w, n in totals.items()}
+
+
 def _compare(cosine: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         place = group["place"].iloc[0]
@@ -189,48 +219,40 @@ def near_vectors(
     # Single-precision vectors travel as such; cosines are computed in double precision.
     kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"))
-    dims = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c"))
-    dims = dims.orderBy(F.desc("c"), "n").first()
-    width = dims["n"] if dims else 0
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = (
-        (F.size("embedding") == width)
-        & F.forall("embedding", finite)
+        F.forall("embedding", finite)
         & F.exists("embedding", lambda v: v != 0)
         & F.col("vec_id").isNotNull()
     )
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     classes = keep(
         rows.where("usable").groupBy(_key().alias("embedding"))
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")),
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        .withColumn("width", F.size("embedding")),
         "vectors",
     )
-    total = classes.count()
-    if total:
-        share = min(1.0, SAMPLE / total)
-        drawn = classes.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("rep").limit(SAMPLE)
-        sample = np.asarray(drawn.select("embedding").toArrow().column(0).combine_chunks().flatten(), np.float64).reshape(-1, width)
-        if not len(sample):
-            sample = np.array([classes.first().embedding], np.float64)
-        shared = spark.sparkContext.broadcast(Forest(_unit(sample), total, trees, leaf, spill, cosine))
-        schema = f"place bigint, rep bigint, copies bigint, embedding {kind}, places array<bigint>"
+    forests = _forests(classes, trees, leaf, spill, cosine)
+    if forests:
+        shared = spark.sparkContext.broadcast(forests)
+        schema = f"width int, place bigint, rep bigint, copies bigint, embedding {kind}, places array<bigint>"
         spread = classes.select("rep", "copies", "embedding").mapInArrow(_places(shared), schema)
-        sizes = spread.groupBy("place").agg(F.count("*").alias("c")).where("c > 1")
+        sizes = spread.groupBy("width", "place").agg(F.count("*").alias("c")).where("c > 1")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         dealt = (
-            spread.join(sizes, "place")
+            spread.join(sizes, ["width", "place"])
             .withColumn("blocks", blocks)
             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(
-                "place", "rep", "copies", "embedding", "places",
+                "width", "place", "rep", "copies", "embedding", "places",
                 F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
                 F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
             )
         )
         # Else the join's partitioning by place would hold all blocks of a large leaf together.
-        dealt = dealt.repartition("place", "left", "right")
-        compared = dealt.groupBy("place", "left", "right").applyInPandas(_compare(cosine), "rep bigint, root bigint, links bigint")
+        dealt = dealt.repartition("width", "place", "left", "right")
+        compared = dealt.groupBy("width", "place", "left", "right").applyInPandas(_compare(cosine), "rep bigint, root bigint, links bigint")
         compared = keep(compared, "compared")
         counts = compared.groupBy("rep").agg(F.sum("links").alias("others"))
         labels = connected_components(compared.where("rep <> root").select("rep", "root"))

@@ -93,3 +93,28 @@ def test_sign_codes(spark):
     rows = [(1, [1.0, -1.0, 2.0]), (2, None), (3, []), (4, [None, math.nan, math.inf]), (5, [1.0] * 64), (6, [1.0] * 65), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {r.id: r.code for r in hamming.sign_codes(df).collect()} == {1: 5, 4: 0, 5: -1}
+
+
+def test_every_length_has_its_own_forest(spark):
+    rng = np.random.default_rng(9)
+    parts = {8: clustered(rng, 600, 8), 12: clustered(rng, 900, 12), 3: clustered(rng, 6, 3)}
+    ids, rows, want = 0, [], {}
+    for x in parts.values():
+        own = list(range(ids, ids + len(x)))
+        ids += len(x)
+        rows += [(i, v.tolist()) for i, v in zip(own, x)]
+        want |= brute_links(own, x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_vectors(df, leaf=10_000).collect()}
+    assert got == want
+    found = {r.vec_id: r.n_links for r in forest.near_vectors(df, leaf=64).collect()}
+    assert all(found[i] <= n for i, (n, _) in want.items())
+    assert sum(found.values()) >= 0.97 * sum(n for n, _ in want.values())
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0]), (4, [3.0]), (5, [-1.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in forest.near_vectors(odd).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_trees_follow_the_depth():
+    sample = np.random.default_rng(3).normal(size=(500, 16))
+    trees = [len(forest.Forest(sample, n).directions) for n in (500, 200_000, 1_000_000_000)]
+    assert trees == [10, 10, 22]
