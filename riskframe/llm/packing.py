@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.store import keep, small_batches
+from riskframe.llm.store import keep, released, small_batches
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -59,7 +59,7 @@ def _byte_letters() -> dict[str, int]:
 class Tokenizer:
     """Byte-level BPE of a ``tokenizers`` vocabulary file; remembers the chunks that a worker has met."""
 
-    LIMIT, LONGEST = 800_000, 100
+    LIMIT, LONGEST = 200_000, 100
 
     def __init__(self, path: str):
         import tiktoken
@@ -231,7 +231,7 @@ def pack(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    pieces = keep(rows.mapInArrow(_pieces(tokenizer, max(tiers), with_ids), schema), "pieces")
+    pieces = keep(rows.mapInArrow(released(_pieces(tokenizer, max(tiers), with_ids)), schema), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     layout, tier_size = _layout(plan(counts, tiers))
     windows = sum(size * n for size, n in tier_size.items())
