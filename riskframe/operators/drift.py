@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col
+from riskframe.functions.tails import chi_square_tail, kolmogorov_tail, normal_tails
 from riskframe.operators.ranks import running_counts, to_long, with_buckets
 
 SIDE = "side"
 REFERENCE, CURRENT = "reference", "current"
+# ---- Fixed values: how a column's test is chosen, and the limits ----
+SMALL_ROWS, FEW_VALUES = 1_000, 5
+LEVEL, DISTANCE_LIMIT = 0.05, 0.1
+# ---------------------------------------------------------------------
 
 
 def drift_inputs(reference: DataFrame, current: DataFrame) -> DataFrame:
@@ -133,3 +138,85 @@ def drift_report(
         report = report.unionByName(part)
     # One row per column.
     return report.withColumn("drifted_share", F.avg("drifted").over(Window.partitionBy()))
+
+
+def _value_counts(sides: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values per column, counted up to one more than matters; one row of numbers."""
+    row = sides.agg(*[F.approx_count_distinct(col(c), 0.01).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    unsure = [c for i, c in enumerate(columns) if row[f"n{i}"] <= 4 * FEW_VALUES]
+    exact = sides.agg(*[F.count_distinct(col(c)).alias(c) for c in unsure]).first() if unsure else {}
+    return {c: exact[c] if c in unsure else row[f"n{i}"] for i, c in enumerate(columns)}
+
+
+def drift_tests(
+    sides: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    small_rows: int = SMALL_ROWS,
+    few_values: int = FEW_VALUES,
+    level: float = LEVEL,
+    limit: float = DISTANCE_LIMIT,
+) -> DataFrame:
+    """One row per column with the test that suits it.
+
+    (feature, kind, test, statistic, p_value, score, drifted). A numeric column with
+    at most ``few_values`` values is treated as a categorical one. Up to ``small_rows``
+    reference rows a column drifts when the p-value of its test is below ``level``:
+    Kolmogorov-Smirnov for numbers, the difference of two shares (z) for two categories,
+    chi-square for more. Above, the p-value is still given, and the column drifts when its
+    distance ``score`` (normed Wasserstein or Jensen-Shannon) reaches ``limit``. A column
+    without rows on one side has no p-value and does not drift.
+    """
+    values = _value_counts(sides, numeric) if numeric else {}
+    continuous = [c for c in numeric if values[c] > few_values]
+    counted = [c for c in numeric if values[c] <= few_values] + list(categorical)
+    parts = []
+    if continuous:
+        found = drift_numeric(sides, continuous)
+        parts.append(
+            found.select(
+                "feature",
+                F.lit("numeric").alias("kind"),
+                F.lit("kolmogorov_smirnov").alias("small_test"),
+                F.col("ks").alias("statistic"),
+                kolmogorov_tail(F.col("ks"), F.col("n_reference"), F.col("n_current")).alias("p_value"),
+                F.lit("wasserstein_normed").alias("large_test"),
+                F.col("wasserstein_normed").alias("score"),
+                "n_reference",
+            )
+        )
+    if counted:
+        found = drift_categorical(sides, counted)
+        sizes = sides.agg(*[F.sum(F.when(col(c).isNotNull(), _is(s))).alias(f"{s}{i}") for i, c in enumerate(counted) for s in (REFERENCE, CURRENT)])
+        listed = [F.struct(F.lit(c).alias("feature"), F.col(f"{REFERENCE}{i}").alias("n_reference"), F.col(f"{CURRENT}{i}").alias("n_current")) for i, c in enumerate(counted)]
+        # One row per column.
+        found = found.join(F.broadcast(sizes.select(F.inline(F.array(*listed)))), "feature")
+        both = (F.col("n_reference") > 0) & (F.col("n_current") > 0)
+        # The squared z of two shares is the chi-square statistic of the 2 x 2 table.
+        z = F.sqrt("chi_square")
+        binary = F.col("n_values") <= 2
+        p = F.when(F.col("n_values") == 1, 1.0).when(binary, normal_tails(z)).otherwise(chi_square_tail(F.col("chi_square"), F.col("n_values") - 1))
+        parts.append(
+            found.select(
+                "feature",
+                F.lit("categorical").alias("kind"),
+                F.when(binary, "share_difference").otherwise("chi_square").alias("small_test"),
+                F.when(binary, z).otherwise(F.col("chi_square")).alias("statistic"),
+                F.when(both, p).alias("p_value"),
+                F.lit("js_distance").alias("large_test"),
+                F.when(both, F.col("js_distance")).alias("score"),
+                "n_reference",
+            )
+        )
+    table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    few = F.col("n_reference") <= small_rows
+    drifted = F.when(few, F.col("p_value") < level).otherwise(F.col("score") >= limit)
+    return table.select(
+        "feature",
+        "kind",
+        F.when(few, F.col("small_test")).otherwise(F.col("large_test")).alias("test"),
+        "statistic",
+        "p_value",
+        "score",
+        F.coalesce(drifted, F.lit(False)).cast("int").alias("drifted"),
+    )

@@ -98,6 +98,37 @@ def drift_report(spark, sf_dir):
     return report.withColumn("score", F.round("score", 5))
 
 
+# Terms of the lower gamma function's series; the chi-square values here are small.
+_TERMS = "(SELECT sum(exp(a * ln(h) - h + n * ln(h) - lgamma(a + n + 1))) FROM generate_series(0, 2000) g(n))"
+DRIFT_TESTS = {
+    **DRIFT_NUMERIC,
+    **DRIFT_CATEGORICAL,
+    "cat_sizes": "SELECT feature, max(nr) AS nr FROM cat_shares GROUP BY feature",
+    "cat_halves": "SELECT *, (n_values - 1) / 2.0::DOUBLE AS a, chi / 2 AS h FROM categorical_drift JOIN cat_sizes USING (feature)",
+    "ks_args": "SELECT *, sqrt(nr * nc / CAST(nr + nc AS DOUBLE)) * ks AS x FROM numeric_drift",
+    "small_p": "SELECT feature, 'numeric' AS kind, nr, 'kolmogorov_smirnov' AS small_test, ks AS statistic, "
+    "least(1, greatest(0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * x * x)) FROM generate_series(1, 3000) g(k)))) AS p, "
+    "'wasserstein_normed' AS large_test, wn AS score FROM ks_args UNION ALL "
+    "SELECT feature, 'categorical', nr, CASE WHEN n_values <= 2 THEN 'share_difference' ELSE 'chi_square' END, "
+    f"CASE WHEN n_values <= 2 THEN sqrt(chi) ELSE chi END, CASE WHEN h <= 0 OR a <= 0 THEN 1 ELSE 1 - {_TERMS} END, 'js_distance', js FROM cat_halves",
+}
+
+
+@register(
+    "drift_tests",
+    """
+SELECT feature, kind, CASE WHEN nr <= 1000 THEN small_test ELSE large_test END AS test, round(statistic, 5) AS statistic, round(p, 6) AS p_value,
+  round(score, 5) AS score, CAST(CASE WHEN nr <= 1000 THEN p < 0.05 ELSE score >= 0.1 END AS INTEGER) AS drifted FROM small_p""",
+    ["loans"],
+    DRIFT_TESTS,
+)
+def drift_tests(spark, sf_dir):
+    """Each column with the test that suits its kind, its number of values and the rows."""
+    found = drift.drift_tests(sides(spark, sf_dir), NUMERIC, CATEGORICAL)
+    return found.withColumns({c: F.round(c, d) for c, d in (("statistic", 5), ("p_value", 6), ("score", 5))})
+
+
+
 # --------------------------------------------------------------------------
 # Attribution
 
