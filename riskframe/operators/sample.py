@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import INF, col, digest, unit_interval
-from riskframe.operators.neighbors import nearest_neighbors
+from riskframe.operators.neighbors import MANY_COLUMNS, nearest_neighbors
 from riskframe.operators.ranks import MAX_LABELS, hash_rank
 
 RANK = "__hash_rank"
@@ -150,12 +150,14 @@ def smote(
 
 
 def minority_neighbors(
-    minority: DataFrame, key: str, features: list[str], k: int = 5, approximate: bool = False
+    minority: DataFrame, key: str, features: list[str], k: int = 5, approximate: bool | None = None
 ) -> DataFrame:
     """(base, pick, neighbor, vec, neighbor_vec): the k nearest rows of every row.
 
-    ``approximate`` is the way to go from about ten features on (see ``neighbors``).
+    ``approximate``: by a refined graph; unless said, from ten features on (see ``neighbors``).
     """
+    if approximate is None:
+        approximate = len(features) >= MANY_COLUMNS
     point = F.array(*[col(f).cast("double") for f in features])
     points = minority.select(col(key).alias("id"), point.alias("vec"))
     return nearest_neighbors(points, k, approximate=approximate).select(

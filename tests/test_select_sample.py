@@ -179,20 +179,20 @@ def test_codes_of_many_categories(spark):
     assert got == want
 
 
-def test_approximate_neighbours_with_many_columns(spark):
-    """40 columns: most of the true neighbours from a fraction of all pairs."""
+@pytest.mark.parametrize("n,spread", [(300, 0.0), (1500, 0.0), (6000, 0.0), (3000, 1.0)])
+def test_graph_neighbours_with_many_columns(spark, n, spread):
+    """40 columns: nearly all true neighbours, without comparing all pairs; also in dense groups."""
     from riskframe.operators import neighbors
 
-    rng = np.random.default_rng(4)
-    n, k = 4000, 5
+    rng = np.random.default_rng(n)
+    k = 5
     x = rng.normal(size=(n, 40))
+    if spread:
+        x = 0.02 * x + rng.normal(size=(3, 40))[rng.choice(3, n, p=[0.8, 0.1, 0.1])]
     x[50] = x[51]
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    leaves = neighbors.tree_leaves(points.withColumnRenamed("id", "sid"), 10, 80).groupBy("tree", "leaf").count()
-    pairs = sum(r["count"] ** 2 for r in leaves.collect())
-    assert pairs < 0.25 * n * n
     got = {}
-    for r in neighbors.nearest_neighbors(points, k, approximate=True).collect():
+    for r in neighbors.nearest_neighbors(points, k).collect():
         assert abs(((x[r["id"]] - x[r["neighbor"]]) ** 2).sum() - r["distance2"]) < 1e-9
         got.setdefault(r["id"], set()).add(r["neighbor"])
     d2 = ((x**2).sum(1)[:, None] + (x**2).sum(1)[None]) - 2 * x @ x.T
@@ -200,4 +200,13 @@ def test_approximate_neighbours_with_many_columns(spark):
     want = np.argsort(d2, axis=1)[:, :k]
     assert all(len(v) == k and i not in v for i, v in got.items()) and len(got) == n
     assert 51 in got[50] and 50 in got[51]
-    assert np.mean([len(got[i] & set(want[i])) / k for i in range(n)]) > 0.6
+    assert np.mean([len(got[i] & set(want[i])) / k for i in range(n)]) >= 0.9
+
+
+def test_graph_neighbours_of_few_points(spark):
+    x = np.random.default_rng(1).normal(size=(4, 12))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = nearest_neighbors(points, 5).toPandas()
+    assert got.groupby("id")["neighbor"].apply(set).to_dict() == {i: set(range(4)) - {i} for i in range(4)}
+    assert nearest_neighbors(points.where("id = 0"), 5).collect() == []
+    assert nearest_neighbors(points.where("id < 0"), 5).collect() == []
