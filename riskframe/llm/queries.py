@@ -213,7 +213,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), planted=True)
     return found.select(
         "doc_id",
         F.col("start").cast("bigint").alias("start"),

@@ -121,3 +121,41 @@ def test_labels_of_one_kind_do_not_decide_the_others(spark):
     described = secrets.features(secrets.candidates(docs), words, secrets.transition_costs(words))
     label = F.when(F.col("doc_id") == 2, 0)
     assert {r.doc_id: r.score for r in secrets.score_findings(described, label).collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_forest_of_planted_values(spark):
+    """Labels that do not follow from the features; better than the rules on values it never saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = secrets.plant(docs).collect()
+    assert len(planted) == 8 * docs.where(r"text rlike '\\S'").count() and all(r.text[r.at :].startswith(r.planted) for r in planted)
+    quality = {r.judge: r for r in secrets.held_out_quality(docs).collect()}
+    precision = {j: r.tp / (r.tp + r.fp) for j, r in quality.items()}
+    recall = {j: r.tp / (r.tp + r.fn) for j, r in quality.items()}
+    assert precision["forest"] > 0.95 and recall["forest"] > 0.95
+    assert recall["forest"] > recall["rules"] + 0.1 and precision["forest"] > precision["rules"]
+
+    more = [
+        (100_001, f"commit {KEY} fixes it", "a"), (100_002, f'etag: "{KEY}" sent', "a"), (100_003, f"signed, auth_token='{KEY[:31]}Z'.", "a"),
+        (100_004, "order 4785380592391139 of mail7.example.com", "a"), (100_005, f"access key => {KEY[:24]}", "a"),
+    ]
+    extra = docs.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    found = secrets.find_secrets(extra, planted=True).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    want = {(i, m.start(1)) for i, t in text.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t, re.I)}
+    got = {(r.doc_id, r.start) for r in found if r.is_secret}
+    assert {g for g in got if g[0] < 100_000} == want
+    assert {g[0] for g in got if g[0] > 100_000} == {100_003, 100_005}
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = "".join(f'token = "{KEY}{i:05d}" é ' for i in range(16_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    found = secrets.candidates(docs).withColumn("is_secret", F.lit(True)).persist()
+    places = [r.start for r in found.select("start").collect()]
+    assert places == [m.start() for m in re.finditer(KEY, text)]
+    hidden = secrets.redact(docs, found).first().text
+    assert hidden == re.sub(KEY + "[0-9]{5}", secrets.REPLACEMENT, text)
+    assert time.perf_counter() - start < 20
