@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced."""
-    return _with_length(secrets.redact(docs, secrets.find_secrets(docs)), docs.columns)
+    return _with_length(secrets.redact(docs, secrets.find_secrets(docs, planted=True)), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
