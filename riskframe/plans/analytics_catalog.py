@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskframe.operators import drift, explain, models, profile, score
+from riskframe.functions.expr import col
+from riskframe.operators import drift, explain, models, profile, score, state
 from riskframe.plans import roles
 from riskframe.plans import sqltext as s
 from riskframe.plans.models_catalog import split
@@ -339,6 +340,36 @@ def feature_profile(spark, sf_dir):
     return tidy(profile.profile(loans(spark, sf_dir), list(PROFILED)))
 
 
+@register(
+    "profile_states",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS rows, count({c}) AS known, {near_sql(f'min({c})')} AS minimum, {near_sql(f'max({c})')} AS maximum, "
+        f"{near_sql(f'avg({c})')} AS mean, {near_sql(f'stddev_pop({c})')} AS deviation, 1 AS median_in_bound, 1 AS distinct_in_bound FROM loans"
+        for c in PROFILED
+    ),
+    ["loans"],
+)
+def profile_states(spark, sf_dir):
+    """States of four batches merged into one; sketched values are held against the exact ones."""
+    df, columns = loans(spark, sf_dir), list(PROFILED)
+    batches = [state.profile_state(df.where(F.col("loan_id") % 4 == i), columns) for i in range(4)]
+    found = state.describe_state(state.merge_states(*batches), [0.5])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("double").alias("value")) for c in columns])
+    medians = F.broadcast(found.select("feature", "rows", "`q_0.5`", F.col("n_distinct").alias("about")))  # one row per column
+    checked = df.select(F.inline(cells)).join(medians, "feature").groupBy("feature", "rows", "about").agg(
+        F.count_if(F.col("value") < F.col("`q_0.5`")).alias("below"),
+        F.count_if(F.col("value") <= F.col("`q_0.5`")).alias("upto"),
+        F.count_distinct("value").alias("exact"),
+    )
+    slack = F.col("rows") * state.rank_error()
+    inside = (F.col("below") <= F.col("rows") / 2 + slack) & (F.col("upto") >= F.col("rows") / 2 - slack)
+    bounds = checked.select(
+        "feature", inside.cast("int").alias("median_in_bound"),
+        (F.abs(F.col("about") / F.col("exact") - 1) <= 0.07).cast("int").alias("distinct_in_bound"),
+    )
+    return tidy(found.drop("q_0.5", "n_distinct").join(bounds, "feature"))
+
+
 @register(
     "distinct_profile",
     " UNION ALL ".join(
