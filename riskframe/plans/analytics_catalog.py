@@ -12,6 +12,7 @@ from riskframe.plans.models_catalog import split
 from riskframe.plans.registry import near_sql, register, tidy
 from riskframe.plans.stats_catalog import MODEL_FEATURES, loans, model_frame
 from riskframe.session import scratch_path
+from riskframe.streaming import monitor
 from riskframe.streaming.score import read_rejections, read_responses, rejected_stream, score_stream
 
 NUMERIC = ["amount", "age", "grade", "score"]
@@ -321,6 +322,49 @@ def score_stream_query(spark, sf_dir):
     return _all_answers(read_responses(spark, out_dir), read_rejections(spark, bad_dir))
 
 
+FIRST_DAY, DAYS = 1_709_251_200, 20  # 2024-03-01
+
+_COUNTED = " || ',' || ".join(f"count(*) FILTER (WHERE ok AND least(floor(p * 10), 9) = {i})" for i in range(10))
+MONITOR_SQL = f"""
+SELECT strftime(TIMESTAMP '2024-03-01' + to_days(CAST(loan_id % {DAYS} AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start,
+  count(*) AS requests, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE ok AND p >= 0.13) AS positive,
+  {near_sql('sum(CASE WHEN ok THEN p END)')} AS score_sum, {_COUNTED} AS score_counts,
+  count(*) FILTER (WHERE loan_id % 13 <> 0) AS age_known, {near_sql('sum(CASE WHEN loan_id % 13 <> 0 THEN age END)')} AS age_total
+FROM (SELECT *, missing = '' AND invalid = '' AS ok,
+        1.0::DOUBLE / (1.0::DOUBLE + exp(-(-2.0::DOUBLE + 0.001::DOUBLE * age - 0.004::DOUBLE * ((loan_id * 7919) % 997 + y * 150.0::DOUBLE) + 0.3::DOUBLE * grade + 1.5::DOUBLE * score))) AS p
+      FROM checked)
+GROUP BY loan_id % {DAYS}"""
+
+
+@register("score_monitor", MONITOR_SQL, ["loans"], {"checked": CHECKED_SQL})
+def score_monitor(spark, sf_dir):
+    """Requests of 20 days in five rounds of files, a third of them sent again in the next round, counted per day as a stream."""
+    in_dir, out_dir = scratch_path(spark, "timed-requests"), scratch_path(spark, "windows")
+    number = F.col("client_id").cast("bigint")
+    second = F.lit(FIRST_DAY) + (number % DAYS) * 86_400 + number % 86_399
+    timed = requests(spark, sf_dir).select(F.col("client_id").alias("request_id"), F.timestamp_seconds(second).alias("at"), "client_id", "features")
+    span = DAYS // 5
+    for part in range(5):
+        mine = F.floor(number % DAYS / span) == part
+        again = (F.floor(number % DAYS / span) == part - 1) & (number % 3 == 0)
+        timed.where(mine | again).write.mode("append").json(in_dir)
+    # A request of a later day closes the windows before it.
+    last = spark.range(1).select(
+        F.lit("last").alias("request_id"), F.timestamp_seconds(F.lit(FIRST_DAY + 100 * 86_400)).alias("at"),
+        F.lit("0").alias("client_id"), F.array().cast("array<struct<key:string,value:string>>").alias("f"),
+    )
+    last.select("request_id", "at", "client_id", F.map_from_entries("f").alias("features")).write.mode("append").json(in_dir)
+    monitor.monitor_stream(spark, SCORER, in_dir, out_dir, 0.13, delay="10 days", files=1)
+    found = spark.read.parquet(out_dir).withColumn("age", F.filter("inputs", lambda x: x["feature"] == "age")[0])
+    return tidy(
+        found.select(
+            F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "valid", "positive", "score_sum",
+            F.array_join(F.transform("score_counts", lambda c: c.cast("string")), ",").alias("score_counts"),
+            F.col("age.known").alias("age_known"), F.col("age.total").alias("age_total"),
+        )
+    )
+
+
 # --------------------------------------------------------------------------
 # Profiles
 
