@@ -43,13 +43,18 @@ def validate(df: DataFrame, required: Sequence[str], payload: str = "features")
     )
 
 
-def rejection(checked: DataFrame) -> DataFrame:
-    """(client_id, error) of the requests that ``validate`` finds invalid."""
+def error_text() -> Column:
+    """What is wrong with a checked request, from ``missing`` and ``invalid``; empty if nothing is."""
     parts = [
         F.when(F.size(name) > 0, F.concat(F.lit(f"{label}: "), F.array_join(name, ", ")))
         for name, label in (("missing", "no value for"), ("invalid", "not a number in"))
     ]
-    return checked.where(F.col("is_valid") == 0).select("client_id", F.concat_ws("; ", *parts).alias("error"))
+    return F.concat_ws("; ", *parts)
+
+
+def rejection(checked: DataFrame) -> DataFrame:
+    """(client_id, error) of the requests that ``validate`` finds invalid."""
+    return checked.where(F.col("is_valid") == 0).select("client_id", error_text().alias("error"))
 
 
 def expand_payload(df: DataFrame, required: Sequence[str], payload: str = "features", default: float | None = None) -> DataFrame:
@@ -85,6 +90,37 @@ def score_requests(model: Model, requests: DataFrame, threshold: float) -> tuple
     return score_batch(model, valid, "client_id", threshold), rejection(checked)
 
 
+def answer_requests(model: Model, requests: DataFrame, threshold: float, payload: str = "features") -> DataFrame:
+    """(client_id, probability, prediction, threshold, error): every request answered in one pass.
+
+    Each payload is parsed once. ``error`` is the rejection's text, empty for scored requests.
+    """
+    required = feature_list(model)
+    values = F.array(*[parse_value(F.try_element_at(col(payload), F.lit(r))) for r in required])
+    parsed = requests.select("client_id", col(payload).alias("__payload"), values.alias("__values"))
+    names = [F.struct(F.lit(r).alias("name"), F.lit(i).alias("i")) for i, r in sorted(enumerate(required), key=lambda e: e[1])]
+    given = lambda n: F.coalesce(F.map_contains_key("__payload", n["name"]), F.lit(False))
+    bad = F.array(*names)
+    missing = F.transform(F.filter(bad, lambda n: ~given(n)), lambda n: n["name"])
+    invalid = F.transform(F.filter(bad, lambda n: given(n) & F.get("__values", n["i"]).isNull()), lambda n: n["name"])
+    checked = parsed.withColumns({"missing": missing, "invalid": invalid}).withColumn(
+        "is_valid", ((F.size("missing") == 0) & (F.size("invalid") == 0)).cast("int")
+    )
+    # Rejected requests go through the model with zeros; their result is not shown.
+    ready = checked.select(
+        "client_id", "is_valid", error_text().alias("error"), *[F.coalesce(F.get("__values", F.lit(i)), F.lit(0.0)).alias(r) for i, r in enumerate(required)]
+    )
+    scored = with_probability(model, ready)
+    valid = F.col("is_valid") == 1
+    return scored.select(
+        F.col("client_id").cast("string").alias("client_id"),
+        F.when(valid, F.col(SCORE)).alias("probability"),
+        F.when(valid, (F.col(SCORE) >= F.lit(threshold)).cast("int")).alias("prediction"),
+        F.when(valid, F.lit(float(threshold))).alias("threshold"),
+        "error",
+    )
+
+
 def with_status(responses: DataFrame) -> DataFrame:
     return responses.withColumn("status", status_text(F.col("prediction")))
 

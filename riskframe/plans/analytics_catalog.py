@@ -309,7 +309,7 @@ def _all_answers(answered, rejected):
 
 @register("score_batch", ANSWERS_SQL, ["loans"], {"checked": CHECKED_SQL})
 def score_batch(spark, sf_dir):
-    return _all_answers(*score.score_requests(SCORER, requests(spark, sf_dir), 0.13))
+    return tidy(score.answer_requests(SCORER, requests(spark, sf_dir), 0.13), exact=["threshold"])
 
 
 @register("score_stream", ANSWERS_SQL, ["loans"], {"checked": CHECKED_SQL})

@@ -197,6 +197,17 @@ def test_contributions_add_up(loans, algorithm, params):
     assert np.allclose(both["total"], want, atol=1e-8)
 
 
+def test_answers_in_one_pass_equal_the_two_tables(spark, loans):
+    rows = [("ok", {"score": "1", "amount_noise": "2.5", "age": "true", "grade": "3"}), ("missing", {"score": "1"}), ("text", {"score": "x", "amount_noise": "2", "age": "1", "grade": None}),
+            ("empty", {}), ("none", None), ("extra", {"score": "1", "amount_noise": "2", "z": "9", "age": "0", "grade": "NaN"}), ("more", {"z": "1", "score": "-1e3", "amount_noise": "2", "age": "4", "grade": "1"})]
+    requests = spark.createDataFrame(rows, "client_id string, features map<string,string>")
+    for model in (models.LinearModel(tuple(MODEL_FEATURES), (0.1, 0.2, -0.3, 0.4)), models.train(loans, MODEL_FEATURES, "y", "logreg", max_iter=5)):
+        answered, rejected = score.score_requests(model, requests, 0.5)
+        want = {r.client_id: (r.probability, r.prediction, r.threshold, "") for r in answered.collect()}
+        want |= {r.client_id: (None, None, None, r.error) for r in rejected.collect()}
+        assert {r.client_id: tuple(r)[1:] for r in score.answer_requests(model, requests, 0.5).collect()} == want
+
+
 def test_payload_cases(spark):
     rows = [("ok", {"a": "1", "b": "2.5"}), ("missing", {"a": "1"}), ("text", {"a": "x", "b": "2"}), ("empty", {}), ("extra", {"a": "1", "b": "2", "z": "9"})]
     df = spark.createDataFrame(rows, "client_id string, features map<string,string>")
