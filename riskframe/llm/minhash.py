@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """Hashes of words seen by this worker; emptied at LIMIT entries."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

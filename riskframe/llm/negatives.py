@@ -234,7 +234,7 @@ def mine_hard_negatives(
     of its first ``positives`` other rows of the same label come the first ``negatives``
     rows of another label with ``low`` % to ``high`` % of the positive's score.
     """
-    small_batches(rows.sparkSession, 4096)
+    small_batches(rows.sparkSession, 4096, 8)
     stored = keep(participants(rows, vec_id, vector, label), "participants")
     sizes = stored.agg(F.count("*").alias("rows"), F.count_if(is_anchor).alias("anchors")).first()
     panels, slices = math.ceil(sizes["anchors"] / PANEL) or 1, math.ceil(sizes["rows"] / SLICE) or 1

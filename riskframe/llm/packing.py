@@ -59,7 +59,7 @@ def _byte_letters() -> dict[str, int]:
 class Tokenizer:
     """Byte-level BPE of a ``tokenizers`` vocabulary file; remembers the chunks that a worker has met."""
 
-    LIMIT, LONGEST = 200_000, 100
+    LIMIT, LONGEST = 100_000, 100
 
     def __init__(self, path: str):
         import tiktoken

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,7 +41,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Slots(dict):
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -153,10 +152,10 @@ class QualityModel:
         def scores(batches):
             model = shared.value
             for texts in batches:
-                yield pd.Series(model.probabilities(pooled(list(texts), model.vectors, index_vectors_cached())))
+                yield pa.array(model.probabilities(pooled(texts.to_pylist(), model.vectors, index_vectors_cached())), pa.float64())
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield from released(scores, _slots)(batches)
 
         return score

@@ -48,7 +48,7 @@ def remove(spark: SparkSession, *files: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256, megabytes: int = 8) -> None:
+def small_batches(spark: SparkSession, rows: int = 256, megabytes: int = 2) -> None:
     """Rows and megabytes per Arrow batch, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
