@@ -2,6 +2,13 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all
 that its predecessor kept. All but the last return the columns they were given.
+
+Defined cases, for every stage: null and empty texts stay as they are unless the
+classifier rejects them (scored as empty) and are packed as one closing id; rows
+without an id stay; repeated rows are judged each, and rows that share an id are one
+document to the near-duplicate stage; ties go to the smaller id; other columns are
+carried along under their names (the stages' own begin with two underscores); an
+empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
