@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Correlation
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import bool_to_int, col
+from riskframe.operators import cells
 from riskframe.operators.ranks import ranked_cells, running_counts, to_long, with_buckets
 
 LOG_EPSILON = 1e-6
@@ -110,15 +110,8 @@ def forest_importance(
     depth: int = FOREST_DEPTH,
     seed: int = 42,
 ) -> dict[str, float]:
-    """Mean decrease in impurity of a random forest."""
-    assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(
-        df.select(
-            col(target).cast("double").alias("label"),
-            *[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
-        )
-    ).select("label", "features")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(assembled)
-    return {f: float(v) for f, v in zip(features, model.featureImportances.toArray())}
+    """Mean decrease in impurity of a random forest (see ``cells``)."""
+    return cells.importance(df, target, features, trees, depth, seed)
 
 
 def importance_table(

@@ -83,6 +83,18 @@ def clean_up(spark: SparkSession) -> int:
     return removed
 
 
+#: Rows of a task in work that passes over the same rows again and again, about.
+SPREAD_ROWS = 250_000
+
+
+def spread(df, rows: int):
+    """The rows dealt out evenly over all cores, more parts for more rows.
+
+    A file with one row group is read by one task, which every later pass over the rows would keep.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SPREAD_ROWS)))
+
+
 def materialize(df, name: str = "stage"):
     """Write a DataFrame to the shared folder and read it back.
 
