@@ -17,8 +17,8 @@ so no gradient knows its own label. The final leaf values are fitted on all rows
 
 Cut points come from a mergeable quantile sketch whose weights are the hessians.
 Every ``REFRESH`` trees the sketch is made anew from the present hessians and the
-blocks are stored with new bins and scores; in between a task adds the newest trees
-to the stored scores. Columns with at most ``bins`` values are cut at each of them,
+blocks are stored with new bins and scores; in between each new tree is added once to
+the kept scores, and the levels of the next tree read the gradients made from them. Columns with at most ``bins`` values are cut at each of them,
 so the splits are those of an exhaustive search. Ties go to the smaller feature,
 then the lower cut, then missing values to the right.
 """
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.expr import col, digest
-from riskframe.session import discard, materialize
+from riskframe.session import discard, materialize, spread
 
 #: Rows of a block; trees between two refreshes of bins and scores.
 BLOCK_ROWS, REFRESH = 16_384, 10
@@ -309,6 +309,34 @@ def _refreshed(ensemble: _Ensemble, cuts: list[np.ndarray]):
     return run
 
 
+_WORK = ["block", "label", "weight", "place", "bins", "margin"]
+_NARROW = "block long, label binary, weight binary, place binary, bins binary, margin binary, g binary, h binary"
+
+
+def _derived(ensemble: _Ensemble):
+    """Blocks with the newest trees in their scores, and the gradient and hessian of each row."""
+
+    def run(batches):
+        for batch in batches:
+            margins, gradients, hessians = [], [], []
+            for i in range(batch.num_rows):
+                bins = _numbers(batch.column("bins")[i], np.uint16).reshape(ensemble.d, -1)
+                label, weight, place = (_numbers(batch.column(c)[i]) for c in ("label", "weight", "place"))
+                margin = ensemble.scores(batch, i, bins, True)
+                g, h = ensemble.row_derivatives(margin, place, label, weight)
+                margins.append(margin.tobytes())
+                gradients.append(g.tobytes())
+                hessians.append(h.tobytes())
+            columns = [batch.column(c) for c in _WORK[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(margins), pa.array(gradients), pa.array(hessians)], [*_WORK, "g", "h"])
+
+    return run
+
+
+def _with_trees(blocks: DataFrame, ensemble: _Ensemble) -> DataFrame:
+    return blocks.select(*_WORK).mapInArrow(_derived(ensemble), _NARROW).persist()
+
+
 # --------------------------------------------------------------------------
 # Levels
 
@@ -320,6 +348,7 @@ class Limits:
     min_hessian: float = 1.0
 
 
+_SUMMED = ["block", "place", "bins", "g", "h"]
 _HISTOGRAM = "bucket int, feature int, node int, part long, g binary, h binary"
 _SPLIT = "node int, feature int, gain double, bin int, default_left boolean, gl double, hl double, gr double, hr double"
 
@@ -340,12 +369,11 @@ def _histograms(ensemble: _Ensemble, tree: Tree, nodes: list[int], sizes: list[i
             for i in range(batch.num_rows):
                 name = int(batch.column("block")[i].as_py()) if name is None else name
                 bins = _numbers(batch.column("bins")[i], np.uint16).reshape(ensemble.d, -1)
-                label, weight, place = (_numbers(batch.column(c)[i]) for c in ("label", "weight", "place"))
-                g, h = ensemble.row_derivatives(ensemble.scores(batch, i, bins, True), place, label, weight)
+                g, h = (_numbers(batch.column(c)[i]) for c in ("g", "h"))
                 at = place_of[tree.leaves(bins, True)]
                 use = at >= 0
                 if rate < 1:
-                    use &= _drawn(place, seed) < rate
+                    use &= _drawn(_numbers(batch.column("place")[i]), seed) < rate
                 at, g, h = at[use] * width, g[use], h[use]
                 for f in range(ensemble.d):
                     b = bins[f][use].astype(np.int64)
@@ -467,7 +495,7 @@ def _leaf_sums(ensemble: _Ensemble, tree: Tree):
             for i in range(batch.num_rows):
                 bins = _numbers(batch.column("bins")[i], np.uint16).reshape(ensemble.d, -1)
                 label, weight, place = (_numbers(batch.column(c)[i]) for c in ("label", "weight", "place"))
-                margin = ensemble.scores(batch, i, bins, True)
+                margin = _numbers(batch.column("margin")[i]).reshape(models, -1)
                 leaf = tree.leaves(bins, True)
                 for m in range(1, models):
                     own = place < ends[m]
@@ -491,7 +519,7 @@ def _level_wise_tree(blocks, ensemble, cuts, depth, limits, rate, seed, learning
     for _ in range(depth):
         if not nodes:
             break
-        partial = blocks.mapInArrow(_histograms(ensemble, tree, nodes, sizes, rate, seed, bucket), _HISTOGRAM)
+        partial = blocks.select(*_SUMMED).mapInArrow(_histograms(ensemble, tree, nodes, sizes, rate, seed, bucket), _HISTOGRAM)
         rows = partial.groupBy("bucket").applyInArrow(_best_splits(sizes, limits), _SPLIT).collect()
         following = []
         for node in nodes:
@@ -519,9 +547,13 @@ def _symmetric_tree(blocks, ensemble, cuts, depth, limits, rate, seed, learning_
     sizes = [len(c) for c in cuts]
     nodes = [tree.add()]
     for _ in range(depth):
-        partial = blocks.mapInArrow(_histograms(ensemble, tree, nodes, sizes, rate, seed, bucket), _HISTOGRAM)
-        scores = partial.groupBy("bucket").applyInArrow(_level_scores(sizes, limits), _SCORES)
-        rows = scores.groupBy((F.col("feature") / F.lit(FEATURES)).cast("int")).applyInArrow(_best_levels, _LEVEL).collect()
+        partial = blocks.select(*_SUMMED).mapInArrow(_histograms(ensemble, tree, nodes, sizes, rate, seed, bucket), _HISTOGRAM)
+        scored, grouped = _level_scores(sizes, limits), partial.groupBy("bucket")
+        if ensemble.d * len(nodes) <= bucket:  # all pairs are in one group, which sees every gain
+            rows = grouped.applyInArrow(lambda table: _best_levels(scored(table)), _LEVEL).collect()
+        else:
+            scores = grouped.applyInArrow(scored, _SCORES)
+            rows = scores.groupBy((F.col("feature") / F.lit(FEATURES)).cast("int")).applyInArrow(_best_levels, _LEVEL).collect()
         best = min(rows, key=lambda r: (-r["gain"], r["feature"]), default=None)
         if best is None or not best["gain"] > limits.min_gain:
             break
@@ -529,7 +561,7 @@ def _symmetric_tree(blocks, ensemble, cuts, depth, limits, rate, seed, learning_
         split = f, cut, float(cuts[f][cut]), best["default_left"], best["gain"] / len(nodes), (0.0, 0.0)
         nodes = [child for node in nodes for child in tree.split(node, *split)]
     schema = "model int, node int, g double, h double"
-    summed = blocks.mapInArrow(_leaf_sums(ensemble, tree), schema).groupBy("model", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    summed = blocks.select(*_WORK).mapInArrow(_leaf_sums(ensemble, tree), schema).groupBy("model", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     tree.value = np.zeros((ensemble.models(), len(tree.feature)))
     for r in summed.collect():
         if r["h"] + limits.l2 > 0 and tree.feature[r["node"]] < 0:
@@ -583,7 +615,7 @@ def train_boosting(
         order_place(order, seed).alias("__place"),
         *[F.coalesce(col(f).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, f in enumerate(features)],
     )
-    blocks = materialize(rows.mapInArrow(_blocks(d), _BLOCK), "blocks")
+    blocks = materialize(spread(rows, labelled.count()).mapInArrow(_blocks(d), _BLOCK), "blocks")
 
     def totals(batches):
         for batch in batches:
@@ -603,7 +635,7 @@ def train_boosting(
     grow = _level_wise_tree if kind == "second_order" else _symmetric_tree
     limits = Limits(l2, min_gain, min_hessian)
     trees: list[Tree] = []
-    narrow = None
+    narrow = before = None
     try:
         for number in range(rounds):
             if not n:
@@ -614,15 +646,21 @@ def train_boosting(
                 if narrow is not None:
                     narrow.unpersist()
                 discard(older)
-                narrow = blocks.drop("vals").persist()
-                bucket = max(1, GROUP_BYTES // (16 * (bins + 1)) // narrow.rdd.getNumPartitions())
                 ensemble = _Ensemble(d, base, prefixes)
+                narrow = _with_trees(blocks, ensemble)
+                bucket = max(1, GROUP_BYTES // (16 * (bins + 1)) // blocks.rdd.getNumPartitions())
             tree = grow(narrow, ensemble, cuts, depth, limits, subsampling, seed + number, learning_rate, bucket)
+            if before is not None:  # its rows are all in the one that followed
+                before.unpersist()
+                before = None
             trees.append(tree)
             ensemble.recent.append(tree)
+            if (number + 1) % REFRESH and number + 1 < rounds:
+                before, narrow = narrow, _with_trees(narrow, _Ensemble(d, base, prefixes, [tree]))
     finally:
-        if narrow is not None:
-            narrow.unpersist()
+        for kept in (narrow, before):
+            if kept is not None:
+                kept.unpersist()
         discard(blocks)
     return BoostedModel(tuple(features), base, trees)
 

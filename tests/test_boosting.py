@@ -197,3 +197,16 @@ def test_ordered_codes(spark, sf_dir):
     assert after[chosen] == rows[chosen] and after != rows
     final = boosting.final_codes(df, spark.createDataFrame([("none",)], "priority string"), "priority", "y", 0.25).first()
     assert final.code == pytest.approx(0.25)
+
+
+def test_blocks_of_one_part_are_dealt_to_all_cores(spark, monkeypatch):
+    parts, stored = [], boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: (parts.append(df.rdd.getNumPartitions()), stored(df, name))[1])
+    df, x, _ = frame(spark, rows=400)
+    one = boosting.train_boosting(df.coalesce(1), ["a", "b", "c"], "y", kind="ordered", rounds=2, depth=2, key="id")
+    assert parts[0] == spark.sparkContext.defaultParallelism > 1
+    # One group or many, and scores kept from tree to tree or made anew: the same trees.
+    monkeypatch.setattr(boosting, "GROUP_BYTES", 1)
+    monkeypatch.setattr(boosting, "REFRESH", 1)
+    many = boosting.train_boosting(df, ["a", "b", "c"], "y", kind="ordered", rounds=2, depth=2, key="id")
+    np.testing.assert_allclose(one.margins(x.T), many.margins(x.T), atol=1e-9)
