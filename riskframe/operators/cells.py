@@ -147,9 +147,9 @@ def _tree_key(tree: int, node: int) -> list[int]:
     return [tree + 1, node + 1]
 
 
-def importance(df: DataFrame, target: str, features: Sequence[str], trees: int, depth: int, seed: int) -> dict[str, float]:
-    """Share of the mean decrease in impurity per feature; each tree counts the same."""
-    d, tried = len(features), math.ceil(math.sqrt(len(features)))
+def counted(df: DataFrame, target: str, features: Sequence[str]) -> tuple[DataFrame, list[np.ndarray], int]:
+    """The rows as blocks of counted cells, persisted, the upper ends of the bins, and the number of classes."""
+    d = len(features)
     names = [f"c{i}" for i in range(d)]
     rows = df.select(col(target).cast("double").alias("label"), *[col(f).cast("double").alias(n) for f, n in zip(features, names)])
     bad = [F.count_if(F.col(c).isNull() | F.isnan(c)) for c in ["label", *names]]
@@ -160,9 +160,16 @@ def importance(df: DataFrame, target: str, features: Sequence[str], trees: int,
         raise ValueError("a forest can't be fitted without rows")
     classes = int(top) + 1
     cuts = cut_points(rows, names)
-    counted = spread(rows, n).mapInArrow(_binned(cuts), "label int, cell binary").groupBy("cell", "label").count()
+    cells = spread(rows, n).mapInArrow(_binned(cuts), "label int, cell binary").groupBy("cell", "label").count()
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // LOCAL // 10))
-    blocks = counted.repartition(parts, "cell").sortWithinPartitions("cell", "label").mapInArrow(_blocks(d), _CELLS).persist()
+    blocks = cells.repartition(parts, "cell").sortWithinPartitions("cell", "label").mapInArrow(_blocks(d), _CELLS).persist()
+    return blocks, cuts, classes
+
+
+def importance(df: DataFrame, target: str, features: Sequence[str], trees: int, depth: int, seed: int) -> dict[str, float]:
+    """Share of the mean decrease in impurity per feature; each tree counts the same."""
+    d, tried = len(features), math.ceil(math.sqrt(len(features)))
+    blocks, _, classes = counted(df, target, features)
     gains = np.zeros((trees, d))
     grown = [Tree() for _ in range(trees)]
     level = [{tree.add(): 0} for tree in grown]  # levels of the nodes
