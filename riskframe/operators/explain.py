@@ -22,6 +22,10 @@ from riskframe.operators.attribution import base_values, path_trees, tree_shaple
 from riskframe.operators.boosting import BoostedModel
 from riskframe.operators.models import feature_list
 
+#: Entries (row and feature) that one task sorts, about.
+TASK_ENTRIES = 500_000
+
+
 def contributions(model: PipelineModel | BoostedModel, df: DataFrame, key: str) -> DataFrame:
     """(key, class, feature, value, contribution, base) for every row, class and feature.
 
@@ -107,13 +111,17 @@ def global_importance(long: DataFrame, positive: int = 1) -> DataFrame:
     )
 
 
-def waterfall(long: DataFrame, key: str, n: int = 7, positive: int = 1) -> DataFrame:
+def waterfall(long: DataFrame, key: str, n: int = 7, positive: int = 1, entries: int | None = None) -> DataFrame:
     """(key, position, feature, contribution, base, final) for every row.
 
     The ``n`` largest by absolute value, the others in one sum, ordered by
-    signed value. A row has as many entries as the model has features.
+    signed value. A row has as many entries as the model has features. The rows are dealt out
+    once, in as many parts as their entries need; ``entries`` saves counting them.
     """
     one = long.where(F.col("class") == positive)
+    # All sorts and sums below go by the key, so they stay in these parts and a task's memory does not grow with the rows.
+    entries = one.count() if entries is None else entries
+    one = one.repartition(max(long.sparkSession.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES)), col(key))
     by_size = Window.partitionBy(col(key)).orderBy(F.abs("contribution").desc(), "feature")
     sized = one.withColumn("__place", F.row_number().over(by_size))
     kept = F.col("__place") <= n
