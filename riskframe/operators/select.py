@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import bool_to_int, col
 from riskframe.operators import cells
-from riskframe.operators.ranks import ranked_cells, running_counts, to_long, with_buckets
+from riskframe.operators.ranks import average_ranks, ranked_cells, running_counts, to_long, with_buckets
+from riskframe.session import materialize
 
 LOG_EPSILON = 1e-6
+# Columns that are ranked by a join each; more of them as one row per cell, brought back together by key.
+FEW_COLUMNS = 12
+# Distinct values of a column whose ranks are broadcast.
+FEW_VALUES = 300_000
 FOREST_TREES = 50
 FOREST_DEPTH = 30  # the deepest that the forest allows
 
@@ -79,12 +84,53 @@ def rank_frame(df: DataFrame, key: str, columns: Sequence[str], buckets: int | N
     )
 
 
+def rank_columns(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """The rows with the average rank of every column in its place; missing cells stay missing.
+
+    A join per column and no row key: for few columns. The ranks of a column with at most ``FEW_VALUES`` values are
+    broadcast, so its join moves no rows.
+    """
+    places = average_ranks(to_long(df, columns), ["feature"], "value", buckets).select("feature", "value", "rank")
+    places = materialize(places, "places")
+    sizes = {r["feature"]: r["n"] for r in places.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        own = places.where(F.col("feature") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        own = F.broadcast(own) if sizes.get(c, 0) <= FEW_VALUES else own
+        out = out.join(own, f"v{i}", "left").drop(f"v{i}")
+    return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _few_columns_matrix(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[tuple[str, str], float]:
+    """Rank correlations of few columns in one pass over their ranks."""
+    ranks = rank_columns(df, columns, buckets)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    row = ranks.where(F.coalesce(*[col(c) for c in columns]).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.var_pop(col(c)).alias(f"v{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs],
+    ).first()
+    for i, c in enumerate(columns):
+        if row[f"n{i}"] < row["n"]:
+            raise ValueError(f"column {c!r} has missing cells")
+    variance = [row[f"v{i}"] or 0.0 for i in range(len(columns))]
+    result = {(c, c): float(v > 0) for c, v in zip(columns, variance)}
+    for i, j in pairs:
+        both = math.sqrt(variance[i] * variance[j])
+        value = abs(row[f"c{i}_{j}"]) / both if both else 0.0
+        result[columns[i], columns[j]] = result[columns[j], columns[i]] = value
+    return result
+
+
 def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> dict[tuple[str, str], float]:
     """Absolute rank correlation of every pair of columns without missing cells; 0 with a constant column.
 
     The result is a columns x columns matrix (a schema decision) on the driver.
     """
     columns = list(columns)
+    if 0 < len(columns) <= FEW_COLUMNS:
+        return _few_columns_matrix(df, columns)
     ranks = rank_frame(df, key, columns)
     names = [f"r{i}" for i in range(len(columns))]
     vectors = VectorAssembler(inputCols=names, outputCol="v").transform(
