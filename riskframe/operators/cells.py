@@ -147,11 +147,13 @@ def _tree_key(tree: int, node: int) -> list[int]:
     return [tree + 1, node + 1]
 
 
-def counted(df: DataFrame, target: str, features: Sequence[str]) -> tuple[DataFrame, list[np.ndarray], int]:
-    """The rows as blocks of counted cells, persisted, the upper ends of the bins, and the number of classes."""
-    d = len(features)
-    names = [f"c{i}" for i in range(d)]
-    rows = df.select(col(target).cast("double").alias("label"), *[col(f).cast("double").alias(n) for f, n in zip(features, names)])
+def counted(df: DataFrame, target: str, features: Sequence[str], dealt: bool = False) -> tuple[DataFrame, list[np.ndarray], int]:
+    """The rows as blocks of counted cells, persisted, the upper ends of the bins, and the number of classes.
+
+    ``dealt``: the rows are spread over all cores already.
+    """
+    names = [f"c{i}" for i in range(len(features))]
+    rows = _plain(df, target, features)
     bad = [F.count_if(F.col(c).isNull() | F.isnan(c)) for c in ["label", *names]]
     n, top, *lost = rows.agg(F.count(F.lit(1)), F.max("label"), *bad).first()
     if any(lost):
@@ -160,10 +162,26 @@ def counted(df: DataFrame, target: str, features: Sequence[str]) -> tuple[DataFr
         raise ValueError("a forest can't be fitted without rows")
     classes = int(top) + 1
     cuts = cut_points(rows, names)
-    cells = spread(rows, n).mapInArrow(_binned(cuts), "label int, cell binary").groupBy("cell", "label").count()
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // LOCAL // 10))
-    blocks = cells.repartition(parts, "cell").sortWithinPartitions("cell", "label").mapInArrow(_blocks(d), _CELLS).persist()
-    return blocks, cuts, classes
+    return _counted(rows, n, cuts, dealt), cuts, classes
+
+
+def placed(df: DataFrame, target: str, features: Sequence[str], cuts: list[np.ndarray], dealt: bool = False) -> DataFrame:
+    """Other rows as blocks of counted cells of the same bins, persisted."""
+    rows = _plain(df, target, features)
+    n, *lost = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull() | F.isnan(c)) for c in rows.columns]).first()
+    if any(lost):
+        raise ValueError("a forest needs a label and all features in every row")
+    return _counted(rows, n, cuts, dealt)
+
+
+def _plain(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    return df.select(col(target).cast("double").alias("label"), *[col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)])
+
+
+def _counted(rows: DataFrame, n: int, cuts: list[np.ndarray], dealt: bool) -> DataFrame:
+    cells = (rows if dealt else spread(rows, n)).mapInArrow(_binned(cuts), "label int, cell binary").groupBy("cell", "label").count()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LOCAL // 10))
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "label").mapInArrow(_blocks(len(cuts)), _CELLS).persist()
 
 
 def importance(df: DataFrame, target: str, features: Sequence[str], trees: int, depth: int, seed: int) -> dict[str, float]:
