@@ -10,7 +10,7 @@ driver. Nothing that grows with the rows does.
 G_l^2 / (H_l + l2) + G_r^2 / (H_r + l2) - G^2 / (H + l2) is greatest and above
 ``min_gain``; missing values go to the side that gains more, which the tree learns.
 
-``ordered``: symmetric trees (one split for all nodes of a level). Rows stand in a
+``ordered``: symmetric trees (one split for all nodes of a level), grown in ``ordered.py``. Rows stand in a
 random order given by a hash. Prefix models are trained on 1/2, 1/4, ... of the
 rows, and the gradient of a row comes from a model whose rows all stand before it,
 so no gradient knows its own label. The final leaf values are fitted on all rows.
@@ -46,8 +46,8 @@ SKETCH = 8
 #: Partial sketches that meet in one task.
 MERGED = 64
 MISSING = 65_535
-#: Partial histograms that meet in one group, in bytes; features whose best cuts meet in one group.
-GROUP_BYTES, FEATURES = 64 << 20, 64
+#: Partial histograms that meet in one group, in bytes.
+GROUP_BYTES = 64 << 20
 #: Rows of one group and part of the order that one task numbers, about.
 PART_ROWS = 200_000
 
@@ -139,7 +139,7 @@ class BoostedModel:
 _BLOCK = "block long, n int, vals binary, label binary, weight binary, place binary, bins binary, margin binary"
 
 
-def _blocks(d: int):
+def _blocks(d: int, in_order: bool = False):
     """Rows (label, weight, place, features...) as blocks without bins and scores."""
 
     def run(batches):
@@ -148,6 +148,8 @@ def _blocks(d: int):
 
         def block(rows: np.ndarray):
             nonlocal number
+            if in_order:
+                rows = rows[rows[:, 2].argsort(kind="stable")]
             parts = [np.ascontiguousarray(rows[:, 3:].T).tobytes(), *[np.ascontiguousarray(rows[:, i]).tobytes() for i in range(3)]]
             number += 1
             # The task's blocks are told apart by their contents; equal blocks are interchangeable.
@@ -204,6 +206,9 @@ class _Ensemble:
             margin += tree.value[:, tree.leaves(columns, binned)]
         return margin
 
+    def packed(self, margin: np.ndarray) -> bytes:
+        return margin.tobytes()
+
     def row_model(self, place: np.ndarray) -> np.ndarray:
         """The model that gives each row its gradient: the largest prefix that ends before it."""
         return np.searchsorted(np.array(self.prefixes), place, side="right") if self.prefixes else np.zeros(len(place), int)
@@ -297,7 +302,7 @@ def _refreshed(ensemble: _Ensemble, cuts: list[np.ndarray]):
             bins, margins = [], []
             for i in range(batch.num_rows):
                 x = _numbers(batch.column("vals")[i]).reshape(ensemble.d, -1)
-                margins.append(ensemble.scores(batch, i, x, False).tobytes())
+                margins.append(ensemble.packed(ensemble.scores(batch, i, x, False)))
                 placed = np.empty(x.shape, np.uint16)
                 for f in range(ensemble.d):
                     placed[f] = np.searchsorted(cuts[f], x[f]).clip(max=max(0, len(cuts[f]) - 1))
@@ -451,63 +456,6 @@ def _best_splits(sizes: list[int], limits: Limits):
     return run
 
 
-_SCORES = "bucket int, feature int, gains binary"
-
-
-def _level_scores(sizes: list[int], limits: Limits):
-    """Per feature the gains of all cuts, added up over the nodes of a bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        total: dict[int, np.ndarray] = {}
-        for f, _, g, h in _sums(table):
-            # A node that a cut leaves whole gains nothing, and that is allowed in a symmetric tree.
-            gain = side_scores(g, h, sizes[f], Limits(limits.l2, 0.0, 0.0))[0]
-            gain = np.where(np.isfinite(gain), gain, 0.0)
-            total[f] = total[f] + gain if f in total else gain
-        bucket = table.column("bucket")[0].as_py()
-        return _table(_SCORES, [(bucket, f, gain.tobytes()) for f, gain in total.items()])
-
-    return run
-
-
-_LEVEL = "feature int, gain double, bin int, default_left boolean"
-
-
-def _best_levels(table: pa.Table) -> pa.Table:
-    """The best cut of each feature."""
-    table = table.sort_by([("feature", "ascending"), ("bucket", "ascending")])
-    total: dict[int, np.ndarray] = {}
-    for f, part in zip(table.column("feature").to_pylist(), table.column("gains").to_pylist()):
-        gain = np.frombuffer(part)
-        total[f] = total[f] + gain if f in total else gain
-    rows = [(f, gain.max(), int(gain.argmax()) // 2, bool(gain.argmax() % 2)) for f, gain in total.items() if gain.size]
-    return _table(_LEVEL, rows)
-
-
-def _leaf_sums(ensemble: _Ensemble, tree: Tree):
-    """Per task and leaf the sums of gradient and hessian of every prefix model over its own rows."""
-
-    def run(batches):
-        models, nodes = ensemble.models(), len(tree.feature)
-        g_sum, h_sum = np.zeros((2, models, nodes))
-        ends = np.r_[0.0, ensemble.prefixes, np.inf]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                bins = _numbers(batch.column("bins")[i], np.uint16).reshape(ensemble.d, -1)
-                label, weight, place = (_numbers(batch.column(c)[i]) for c in ("label", "weight", "place"))
-                margin = _numbers(batch.column("margin")[i]).reshape(models, -1)
-                leaf = tree.leaves(bins, True)
-                for m in range(1, models):
-                    own = place < ends[m]
-                    g, h = _derivatives(margin[m][own], label[own], weight[own])
-                    g_sum[m] += np.bincount(leaf[own], g, nodes)
-                    h_sum[m] += np.bincount(leaf[own], h, nodes)
-        m, n = (x.ravel().astype(np.int32) for x in np.indices(g_sum.shape))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, n, g_sum.ravel(), h_sum.ravel())], ["model", "node", "g", "h"])
-
-    return run
-
-
 # --------------------------------------------------------------------------
 # Training
 
@@ -542,35 +490,6 @@ def _level_wise_tree(blocks, ensemble, cuts, depth, limits, rate, seed, learning
     return tree
 
 
-def _symmetric_tree(blocks, ensemble, cuts, depth, limits, rate, seed, learning_rate, bucket) -> Tree:
-    tree = Tree()
-    sizes = [len(c) for c in cuts]
-    nodes = [tree.add()]
-    for _ in range(depth):
-        partial = blocks.select(*_SUMMED).mapInArrow(_histograms(ensemble, tree, nodes, sizes, rate, seed, bucket), _HISTOGRAM)
-        scored, grouped = _level_scores(sizes, limits), partial.groupBy("bucket")
-        if ensemble.d * len(nodes) <= bucket:  # all pairs are in one group, which sees every gain
-            rows = grouped.applyInArrow(lambda table: _best_levels(scored(table)), _LEVEL).collect()
-        else:
-            scores = grouped.applyInArrow(scored, _SCORES)
-            rows = scores.groupBy((F.col("feature") / F.lit(FEATURES)).cast("int")).applyInArrow(_best_levels, _LEVEL).collect()
-        best = min(rows, key=lambda r: (-r["gain"], r["feature"]), default=None)
-        if best is None or not best["gain"] > limits.min_gain:
-            break
-        f, cut = best["feature"], best["bin"]
-        split = f, cut, float(cuts[f][cut]), best["default_left"], best["gain"] / len(nodes), (0.0, 0.0)
-        nodes = [child for node in nodes for child in tree.split(node, *split)]
-    schema = "model int, node int, g double, h double"
-    summed = blocks.select(*_WORK).mapInArrow(_leaf_sums(ensemble, tree), schema).groupBy("model", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    tree.value = np.zeros((ensemble.models(), len(tree.feature)))
-    for r in summed.collect():
-        if r["h"] + limits.l2 > 0 and tree.feature[r["node"]] < 0:
-            tree.value[r["model"], r["node"]] = -learning_rate * r["g"] / (r["h"] + limits.l2)
-            if r["model"] == ensemble.models() - 1:
-                tree.cover[r["node"]] = r["h"]
-    return tree
-
-
 def order_place(key: str | Sequence[str], seed: int = 42) -> Column:
     """The place of a row in the random order, from 0 to 1: the first 52 bits of md5(key:seed)."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -615,7 +534,11 @@ def train_boosting(
         order_place(order, seed).alias("__place"),
         *[F.coalesce(col(f).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, f in enumerate(features)],
     )
-    blocks = materialize(spread(rows, labelled.count()).mapInArrow(_blocks(d), _BLOCK), "blocks")
+    rows.persist()  # counted, then dealt out
+    try:
+        blocks = materialize(spread(rows, rows.count()).mapInArrow(_blocks(d, kind == "ordered"), _BLOCK), "blocks")
+    finally:
+        rows.unpersist()
 
     def totals(batches):
         for batch in batches:
@@ -631,9 +554,13 @@ def train_boosting(
     if kind == "ordered":
         halvings = max(1, int(math.log2(max(2.0, n / prefix_rows))))
         prefixes = tuple(0.5**j for j in range(halvings, 0, -1))
-    ensemble = _Ensemble(d, base, prefixes)
-    grow = _level_wise_tree if kind == "second_order" else _symmetric_tree
     limits = Limits(l2, min_gain, min_hessian)
+    if kind == "ordered":
+        from riskframe.operators.ordered import OrderedEnsemble, grow_ordered  # builds on this module
+
+        ordered = OrderedEnsemble(d, base, prefixes)
+        return BoostedModel(tuple(features), base, grow_ordered(blocks, n, ordered, rounds, depth, limits, subsampling, seed, learning_rate, bins))
+    ensemble = _Ensemble(d, base)
     trees: list[Tree] = []
     narrow = before = None
     try:
@@ -646,17 +573,17 @@ def train_boosting(
                 if narrow is not None:
                     narrow.unpersist()
                 discard(older)
-                ensemble = _Ensemble(d, base, prefixes)
+                ensemble = _Ensemble(d, base)
                 narrow = _with_trees(blocks, ensemble)
                 bucket = max(1, GROUP_BYTES // (16 * (bins + 1)) // blocks.rdd.getNumPartitions())
-            tree = grow(narrow, ensemble, cuts, depth, limits, subsampling, seed + number, learning_rate, bucket)
+            tree = _level_wise_tree(narrow, ensemble, cuts, depth, limits, subsampling, seed + number, learning_rate, bucket)
             if before is not None:  # its rows are all in the one that followed
                 before.unpersist()
                 before = None
             trees.append(tree)
             ensemble.recent.append(tree)
             if (number + 1) % REFRESH and number + 1 < rounds:
-                before, narrow = narrow, _with_trees(narrow, _Ensemble(d, base, prefixes, [tree]))
+                before, narrow = narrow, _with_trees(narrow, _Ensemble(d, base, recent=[tree]))
     finally:
         for kept in (narrow, before):
             if kept is not None:

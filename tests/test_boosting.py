@@ -210,3 +210,44 @@ def test_blocks_of_one_part_are_dealt_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(boosting, "REFRESH", 1)
     many = boosting.train_boosting(df, ["a", "b", "c"], "y", kind="ordered", rounds=2, depth=2, key="id")
     np.testing.assert_allclose(one.margins(x.T), many.margins(x.T), atol=1e-9)
+
+
+def test_rows_keep_only_the_scores_they_need(spark):
+    """Scores of the models from the row's own place on: about three a row, however many prefixes there are."""
+    from riskframe.operators.ordered import OrderedEnsemble, added
+
+    rng = np.random.default_rng(2)
+    prefixes = tuple(0.5**j for j in range(10, 0, -1))
+    ensemble, place = OrderedEnsemble(1, 0.1, prefixes), np.sort(rng.random(20_000))
+    kept = ensemble.empty(place)
+    assert 2.9 < sum(m.size for m in kept) / len(place) < 3.1
+    values, leaf = rng.random((12, 4)), rng.integers(0, 4, len(place))
+    first = added(kept, values, leaf)
+    again = ensemble.stored(ensemble.packed(first), place)
+    model = ensemble.row_model(place)
+    np.testing.assert_array_equal(np.concatenate([m[0] for m in again]), 0.1 + values[model, leaf])
+    np.testing.assert_array_equal(np.concatenate([m[-1] for m in again]), 0.1 + values[-1, leaf])
+
+
+@pytest.mark.parametrize("group_bytes", [64 << 20, 20_000])
+def test_ordered_weights_and_samples(spark, monkeypatch, group_bytes):
+    """A weight of two counts as much as both copies of a row; a sampled tree is the same again."""
+    monkeypatch.setattr(boosting, "GROUP_BYTES", group_bytes)
+    df, x, _ = frame(spark, rows=300)
+    twice = df.withColumn("w", F.lit(2.0))
+    one = boosting.train_boosting(twice, ["a", "b"], "y", kind="ordered", rounds=2, depth=3, weight="w", key="id", prefix_rows=50)
+    two = boosting.train_boosting(df.unionByName(df), ["a", "b"], "y", kind="ordered", rounds=2, depth=3, key="id", prefix_rows=100)
+    np.testing.assert_allclose(one.margins(x.T[:2]), two.margins(x.T[:2]), atol=1e-9)
+    sampled = [boosting.train_boosting(df, ["a", "b"], "y", kind="ordered", rounds=2, depth=3, key="id", subsampling=0.5) for _ in range(2)]
+    np.testing.assert_array_equal(sampled[0].margins(x.T[:2]), sampled[1].margins(x.T[:2]))
+    assert sampled[0].trees[0].cover != one.trees[0].cover
+
+
+def test_ordered_boosting_is_one_job_a_level(spark):
+    df, jobs = frame(spark, rows=300)[0].persist(), []
+    for rounds in (1, 9):
+        spark.sparkContext.setJobGroup(f"ordered{rounds}", "")
+        boosting.train_boosting(df, ["a", "b"], "y", kind="ordered", rounds=rounds, depth=3, key="id")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ordered{rounds}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[1] - jobs[0] <= 8 * 4  # three levels and the leaf values
