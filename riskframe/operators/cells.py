@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +174,20 @@ def placed(df: DataFrame, target: str, features: Sequence[str], cuts: list[np.nd
     return _counted(rows, n, cuts, dealt)
 
 
+def scored(blocks: DataFrame, d: int, trees: Sequence[Tree], probabilities: Callable, target: str, score: str, count: str) -> DataFrame:
+    """The cells with their label, probability by ``probabilities(trees, bins)`` and number of rows."""
+    shared = blocks.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for batch in batches:
+            for _, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                bins, labels, counts = (np.frombuffer(p, k) for p, k in zip(parts, (np.uint8, np.int32, np.int64)))
+                p = probabilities(shared.value, bins.reshape(d, -1))
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (labels, p, counts)], [target, score, count])
+
+    return blocks.mapInArrow(run, f"`{target}` int, `{score}` double, `{count}` long")
+
+
 def _plain(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     return df.select(col(target).cast("double").alias("label"), *[col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)])
 

@@ -8,7 +8,8 @@ with every value where there are at most ``BINS``. Rows with the same bins and l
 the same margin for ever, so a cell with its count stands for them, and a tree's sample of a
 cell is a binomial draw.
 
-Each task keeps its cells with their margins. A level of a tree is one pass that adds up
+While the cells are few (``WHOLE``), one task grows all trees; a job for each level would cost more than its work.
+Else each task keeps its cells with their margins. A level of a tree is one pass that adds up
 rows and gradients by node, feature and bin. While these sums are small they meet on the
 driver in one stage; else they meet by node, and only the best splits reach the driver.
 Ties go to the smaller feature, then the lower cut.
@@ -27,6 +28,8 @@ from riskframe.operators.cells import BINS, LEAST_GAIN, counted
 
 #: Cells of a task, about; bytes of a level's sums, of all tasks, that may meet on the driver.
 PART_CELLS, DRIVER_BYTES = 100_000, 1 << 20
+#: Cells times features that one task boosts from the first tree to the last.
+WHOLE = 4_000_000
 #: Trees after which the margins are made anew from the cells, so lineages stay short.
 REFRESH = 25
 
@@ -123,6 +126,27 @@ def _met(least: int):
     return run
 
 
+def _following(tree: Tree, nodes: list[int], mean: dict[int, float], found: dict[int, tuple], cuts: list[np.ndarray]) -> list[int]:
+    """The open nodes of the next level; ``mean`` gets theirs."""
+    following = []
+    for node in nodes:
+        f, b, gain, left_n, left_g, right_n, right_g = found.get(node, (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0))
+        if node == 0 and left_n + right_n:
+            tree.cover[0], mean[0] = left_n + right_n, (left_g + right_g) / (left_n + right_n)
+        if gain <= LEAST_GAIN:
+            continue
+        children = tree.split(node, f, b, float(cuts[f][b]), False, gain, (left_n, right_n))
+        mean.update(zip(children, (left_g / left_n, right_g / right_n)))
+        following += children
+    return following
+
+
+def _valued(tree: Tree, mean: dict[int, float], weight: float) -> Tree:
+    # Log odds are twice the margin.
+    tree.value = np.array([[2 * weight * mean[node] for node in range(len(tree.feature))]])
+    return tree
+
+
 def _grown(state, parts: int, d: int, cuts: list[np.ndarray], depth: int, least: int, weight: float) -> Tree:
     tree = Tree()
     nodes, mean = [tree.add()], {0: 0.0}
@@ -135,20 +159,49 @@ def _grown(state, parts: int, d: int, cuts: list[np.ndarray], depth: int, least:
             found = {node: best_split(total, least) for node, total in zip(nodes, sum(s for _, s in met).swapaxes(0, 1))} if met else {}
         else:
             found = sums.flatMap(_by_node(nodes)).groupByKey(min(parts, len(nodes))).mapValues(_met(least)).collectAsMap()
-        following = []
-        for node in nodes:
-            f, b, gain, left_n, left_g, right_n, right_g = found.get(node, (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0))
-            if node == 0 and left_n + right_n:
-                tree.cover[0], mean[0] = left_n + right_n, (left_g + right_g) / (left_n + right_n)
-            if gain <= LEAST_GAIN:
-                continue
-            children = tree.split(node, f, b, float(cuts[f][b]), False, gain, (left_n, right_n))
-            mean.update(zip(children, (left_g / left_n, right_g / right_n)))
-            following += children
-        nodes = following
-    # Log odds are twice the margin.
-    tree.value = np.array([[2 * weight * mean[node] for node in range(len(tree.feature))]])
-    return tree
+        nodes = _following(tree, nodes, mean, found, cuts)
+    return _valued(tree, mean, weight)
+
+
+def _grown_here(bins: np.ndarray, copies: np.ndarray, gradient: np.ndarray, cuts: list[np.ndarray], depth: int, least: int, weight: float) -> Tree:
+    """The same tree from all cells at once; each knows its open node."""
+    tree, d = Tree(), len(bins)
+    nodes, mean = [tree.add()], {0: 0.0}
+    place = np.zeros(bins.shape[1], np.intp)
+    for _ in range(depth):
+        if not nodes:
+            break
+        sums, base = np.empty((2, len(nodes), d, BINS)), place * BINS
+        for f in range(d):
+            key = base + bins[f]
+            for held, w in zip(sums, (copies, gradient)):
+                held[:, f] = np.bincount(key, w, len(nodes) * BINS).reshape(len(nodes), BINS)
+        found = {node: best_split(total, least) for node, total in zip(nodes, sums.swapaxes(0, 1))}
+        open_before, nodes = nodes, _following(tree, nodes, mean, found, cuts)
+        at = {node: i for i, node in enumerate(nodes)}
+        child = np.array([[at.get(side[node], -1) for side in (tree.left, tree.right)] for node in open_before]).ravel()
+        feature, cut = (np.array([max(0, values[node]) for node in open_before]) for values in (tree.feature, tree.bin))
+        n = bins.shape[1]
+        right = bins.ravel().take((feature * n).take(place) + np.arange(n)) > cut.take(place)
+        place = child.take(2 * place + right)
+        on = np.flatnonzero(place >= 0)
+        if len(on) < n:
+            bins, copies, gradient, place = bins.take(on, axis=1), copies.take(on), gradient.take(on), place.take(on)
+    return _valued(tree, mean, weight)
+
+
+def _boosted(cuts: list[np.ndarray], rounds: int, depth: int, rate: float, seed: int, least: int, step: float):
+    """All trees from the entry of the only task."""
+
+    def run(entries):
+        for entry in entries:
+            trees: list[Tree] = []
+            for number in range(rounds):
+                (entry,) = _stepped(trees[-1:], number, rate, seed)([entry])
+                trees.append(_grown_here(entry[1], *entry[5:], cuts, depth, least, step if number else 1.0))
+            yield trees
+
+    return run
 
 
 def train_gradient(
@@ -161,18 +214,27 @@ def train_gradient(
     subsamplingRate: float = 1.0,
     minInstancesPerNode: int = 1,
     seed: int = 42,
+    counted_rows: tuple | None = None,
 ) -> BoostedModel:
-    """Fit ``maxIter`` trees on the labelled rows of ``df``; the names of the parameters are those of ``pyspark.ml``."""
+    """Fit ``maxIter`` trees on the labelled rows of ``df``; the names of the parameters are those of ``pyspark.ml``.
+
+    ``counted_rows``: what ``cells.counted`` made of the rows, to share it between models.
+    """
     if maxIter < 1 or not 0 <= maxDepth <= 30 or minInstancesPerNode < 1 or not (0 < stepSize <= 1 and 0 < subsamplingRate <= 1):
         raise ValueError("boosting needs a round, at most 30 levels, a row in a leaf, and a step size and a rate above 0, at most 1")
     d = len(features)
-    blocks, cuts, classes = counted(df, target, features)
+    blocks, cuts, classes = counted_rows or counted(df, target, features)
     if classes > 2:
-        blocks.unpersist()
+        if counted_rows is None:
+            blocks.unpersist()
         raise ValueError("boosting needs the labels 0 and 1")
     held = []
     try:
         cells = blocks.agg(F.sum(F.octet_length("labels"))).first()[0] // 4
+        if cells * d <= WHOLE:
+            grow = _boosted(cuts, maxIter, maxDepth, subsamplingRate, seed, minInstancesPerNode, stepSize)
+            (trees,) = blocks.rdd.coalesce(1).mapPartitionsWithIndex(_joined(d)).mapPartitions(grow).collect()
+            return BoostedModel(tuple(features), 0.0, trees)
         parts = min(blocks.rdd.getNumPartitions(), max(1, -(-cells // PART_CELLS)))
         entries = blocks.rdd.coalesce(parts).mapPartitionsWithIndex(_joined(d)).persist()
         state, trees = entries, []
@@ -188,5 +250,14 @@ def train_gradient(
     finally:
         for kept in held:
             kept.unpersist()
-        blocks.unpersist()
+        if counted_rows is None:
+            blocks.unpersist()
     return BoostedModel(tuple(features), 0.0, trees)
+
+
+def probabilities(trees: Sequence[Tree], bins: np.ndarray) -> np.ndarray:
+    """The probability of class 1 of each cell of bins, one row per feature."""
+    margin = np.zeros(bins.shape[1])
+    for tree in trees:
+        margin += tree.value[-1][_ends(tree, bins)]
+    return 1 / (1 + np.exp(-margin))
